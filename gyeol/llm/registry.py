@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, minhash, mixing
+from . import decontam, langid, linededup, media, minhash, mixing, pii
 from .common import table
 
 
+def op1_media_png_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_hashes(media.render(table(spark, sf_dir, "documents")))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs)).withColumn("confidence", F.round("confidence", 6))
 
 
+def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,7 +41,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_minhash_near_dedup, op3_source_mixing, op4_language_id, op7_benchmark_decontamination, op10_line_dedup)
+    f.__name__: f for f in (op1_media_png_hash, op2_minhash_near_dedup, op3_source_mixing, op4_language_id, op5_pii_spans, op7_benchmark_decontamination, op10_line_dedup)
 }
 
 _TRIM = r"'^[\t\n\x0B\f\r\x1C-\x20]+|[\t\n\x0B\f\r\x1C-\x20]+$'"

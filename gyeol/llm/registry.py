@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, media, minhash, mixing, pii
+from . import decontam, langid, linededup, lm, media, minhash, mixing, passages, pii
 from .common import table
 
 
@@ -32,16 +32,28 @@ def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op6_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_across(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.later_copies(table(spark, sf_dir, "documents"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_tokens(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.repeated_lines(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_png_hash, op2_minhash_near_dedup, op3_source_mixing, op4_language_id, op5_pii_spans, op7_benchmark_decontamination, op10_line_dedup)
+    f.__name__: f for f in (op1_media_png_hash, op2_minhash_near_dedup, op3_source_mixing, op4_language_id, op5_pii_spans, op6_fm_index_substrings, op7_benchmark_decontamination, op8_suffix_array_dedup, op9_lm_scoring, op10_line_dedup)
 }
 
 _TRIM = r"'^[\t\n\x0B\f\r\x1C-\x20]+|[\t\n\x0B\f\r\x1C-\x20]+$'"

@@ -13,7 +13,7 @@ pass over the source.  Slots and blocks are joined by (source, block).  There ar
 as many slots as blocks.
 
 Plan: one pass counts tokens by (source, bucket); one shuffle brings each bucket's
-documents together in order; one shuffle brings the pieces of a block together and
+documents together in order, behind a row with the bucket's first position; one shuffle brings the pieces of a block together and
 serves the join, too.  A hot source is spread over ``BUCKETS`` buckets.
 
 Defined cases: a null source counts as ''.  Null or empty texts and texts of white
@@ -85,22 +85,23 @@ def bucket_tokens(prepared: DataFrame) -> DataFrame:
 
 def pieces(prepared: DataFrame, base: DataFrame, block: int) -> DataFrame:
     """source, block, at (first token in the block), n, doc_id, piece: every document cut at block bounds."""
-    both = prepared.join(base, ["source", "bucket"]).select("source", "bucket", "base", "doc_id", "text", F.xxhash64("doc_id", F.lit(1)).alias("turn"), F.xxhash64("text").alias("h"))
-    both = both.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "turn", "doc_id", "h").select("source", "bucket", "base", "doc_id", "text")
+    # a bucket's base travels as its first row; a join on the same keys would let the planner take its
+    # partitioning for ours and give it up later when it turns the join into a broadcast
+    docs = prepared.select("source", "bucket", F.lit(None).cast("long").alias("base"), "doc_id", "text", F.xxhash64("doc_id", F.lit(1)).alias("turn"), F.xxhash64("text").alias("h"))
+    heads = base.select("source", "bucket", "base", *[F.lit(None).cast(t).alias(n) for n, t in (("doc_id", "long"), ("text", "string"), ("turn", "long"), ("h", "long"))])
+    both = docs.union(heads).repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.col("base").isNull(), "turn", "doc_id", "h").select("source", "bucket", "base", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, done = None, 0
+        done = 0
         for b in batches:
-            src, bucket, base_ = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy()
-            names = src.to_pylist()
+            src, heads = b.column(0), dict(zip(np.flatnonzero(b.column(2).is_valid()).tolist(), b.column(2).drop_null().to_pylist()))
             for a, c, data, off in chunks(b.column(4)):
                 s, _, row = tokens(data, off)
                 n = np.bincount(row, minlength=c - a)
                 start = np.zeros(c - a, np.int64)
                 for i in range(c - a):
-                    if (names[a + i], bucket[a + i]) != last:
-                        last, done = (names[a + i], bucket[a + i]), 0
-                    start[i] = base_[a + i] + done
+                    done = heads.get(a + i, done)
+                    start[i] = done
                     done += int(n[i])
                 first = np.cumsum(n) - n
                 place = start[row] + np.arange(len(row)) - first[row]  # of each token in its source

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import stats
+
+MODULES = (stats,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}

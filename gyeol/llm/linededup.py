@@ -95,16 +95,27 @@ def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, line int, n int, h long, k0 long, k1 long, k2 long, k3 long")
 
 
+_BASE = 0xD1342543DE82EF95
+
+
+def _powers(n: int) -> np.ndarray:
+    """The first n + 1 powers of the base modulo 2**64."""
+    p = np.full(n + 1, _BASE, np.uint64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
 def _variants(text: list[np.ndarray], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of the line without the character at p, line, p) for lo <= p < hi; lines are code point arrays."""
     n = np.array([len(t) for t in text])
     off = np.concatenate([[0], np.cumsum(n)])
     flat = np.concatenate(text)
     with np.errstate(over="ignore"):
-        powers = np.multiply.accumulate(np.concatenate([[1], np.full(int(n.max()), 0xD1342543DE82EF95, np.uint64)]).astype(np.uint64))
+        powers = _powers(int(n.max()))
         within = np.arange(len(flat)) - np.repeat(off[:-1], n)
-        inverse = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
-        sums = np.concatenate([[0], np.cumsum(mix(flat.astype(np.uint64) + np.uint64(1)) * powers[within])]).astype(np.uint64)
+        inverse = np.uint64(pow(_BASE, -1, 1 << 64))
+        sums = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum(mix(flat.astype(np.uint64) + np.uint64(1)) * powers[within], out=sums[1:])
         line = np.repeat(np.arange(len(n)), n)
         use = (within >= lo) & (within < hi)
         line, p = line[use], within[use]
@@ -118,9 +129,10 @@ def _whole(text: list[np.ndarray]) -> np.ndarray:
     off = np.concatenate([[0], np.cumsum(n)])
     flat = np.concatenate(text)
     with np.errstate(over="ignore"):
-        powers = np.multiply.accumulate(np.concatenate([[1], np.full(int(n.max()), 0xD1342543DE82EF95, np.uint64)]).astype(np.uint64))
+        powers = _powers(int(n.max()))
         within = np.arange(len(flat)) - np.repeat(off[:-1], n)
-        sums = np.concatenate([[0], np.cumsum(mix(flat.astype(np.uint64) + np.uint64(1)) * powers[within])]).astype(np.uint64)
+        sums = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum(mix(flat.astype(np.uint64) + np.uint64(1)) * powers[within], out=sums[1:])
         return mix(sums[off[1:]] - sums[off[:-1]])
 
 

@@ -69,7 +69,7 @@ class ByteConvNet:
             h = np.maximum(z.max(axis=1) + self.bias, 0)
             got.append(h @ self.out + self.out_bias)
         x = np.concatenate(got) if got else np.zeros((0, len(self.languages)), np.float32)
-        x = np.exp(x - x.max(axis=1, keepdims=True)) if len(x) else x
+        x = np.exp(x - x.max(axis=1, keepdims=True)) if x.size else x
         return x / x.sum(axis=1, keepdims=True)
 
     def documents(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:

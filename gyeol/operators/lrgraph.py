@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..sources.corpus import token_counts
 
 
@@ -102,19 +103,18 @@ def l_statistics(graph: DataFrame) -> DataFrame:
 def hits(graph: DataFrame, damping: float = 0.9, iterations: int = 10, tolerance: float = 1e-4) -> DataFrame:
     """side, word, rank: mutual ranks on the bipartite graph, each side's ranks spread in proportion to the counts.
 
-    Lineage is cut by a checkpoint where a checkpoint folder is set.
+    Lineage is cut by a checkpoint in each round.
     """
     g = graph.where("r <> ''")
     out_l, out_r = F.sum("count").over(Window.partitionBy("l")), F.sum("count").over(Window.partitionBy("r"))
     g = g.withColumn("to_r", F.col("count") / out_l).withColumn("to_l", F.col("count") / out_r)
-    reliable = g.sparkSession.sparkContext.getCheckpointDir() is not None
-    g = g.checkpoint() if reliable else g.cache()
+    g = cut(g)
     ranks = g.select("l").distinct().withColumn("rank", F.lit(1.0))
     total = ranks.count()
     for _ in range(iterations):
         r = g.join(ranks, "l").groupBy("r").agg((F.sum(F.col("to_r") * F.col("rank")) * damping + (1 - damping)).alias("rank"))
         new = g.join(r, "r").groupBy("l").agg((F.sum(F.col("to_l") * F.col("rank")) * damping + (1 - damping)).alias("rank"))
-        new = new.checkpoint() if reliable else new.cache()
+        new = cut(new)
         moved = new.alias("a").join(ranks.alias("b"), "l").agg(F.sum(F.abs(F.col("a.rank") - F.col("b.rank")))).first()[0] or 0.0
         ranks = new
         if moved < tolerance * total:

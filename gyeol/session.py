@@ -1,8 +1,10 @@
-"""A session with the settings the engine is designed for."""
+"""A session with the settings the engine is designed for, and lineage cuts that survive lost executors."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -14,3 +16,17 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that spark.checkpoint.dir names; only a one-process session may go without the setting."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="gyeol-")
+        context.setCheckpointDir(named)
+    return df.checkpoint(eager=True)

@@ -86,4 +86,4 @@ def save_vocabulary(vocabulary: DataFrame, path: str) -> None:
 
 
 def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("idx", "term"))
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("idx", "term"))

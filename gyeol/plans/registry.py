@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import stats
+from . import korean, stats
 
-MODULES = (stats,)
+MODULES = (stats, korean)
 
 
 def queries() -> dict:

@@ -24,7 +24,7 @@ def read_doublespace(spark: SparkSession, path: str, iter_sent: bool = False, sk
     Documents: doc_id, text.  Sentences: doc_id, sent_id, sent without blank ones.  Lines
     are numbered within the file, so the header and the caps follow file order.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("doc_id", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("doc_id", "text"))
     lines = lines.where(F.col("doc_id") >= skip_header).withColumn("text", strip(F.col("text")))
     if not iter_sent:
         return lines.orderBy("doc_id").limit(num_doc) if num_doc > 0 else lines

@@ -51,8 +51,8 @@ FROM words LEFT JOIN (SELECT word AS hw, n FROM lc WHERE length(word) = 1) h ON
 
 def _boundary(cap: bool) -> str:
     a, b = ("WHERE length(root) <= 9", "WHERE length(root) <= 5") if cap else ("", "")
-    return f""", rb AS (SELECT root AS word, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS be, count(*) AS av FROM (SELECT left(word, length(word) - 1) AS root, n FROM lc WHERE length(word) >= 2 UNION ALL SELECT root, n FROM al) {a} GROUP BY root),
-lb AS (SELECT root AS word, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS be, count(*) AS av FROM (SELECT substr(word, 2) AS root, n FROM rc WHERE length(word) >= 2 UNION ALL SELECT root, n FROM ar) {b} GROUP BY root),
+    return f""", rb AS (SELECT root AS word, greatest(ln(sum(n)) - sum(n * ln(n)) / sum(n), 0.0) AS be, count(*) AS av FROM (SELECT left(word, length(word) - 1) AS root, n FROM lc WHERE length(word) >= 2 UNION ALL SELECT root, n FROM al) {a} GROUP BY root),
+lb AS (SELECT root AS word, greatest(ln(sum(n)) - sum(n * ln(n)) / sum(n), 0.0) AS be, count(*) AS av FROM (SELECT substr(word, 2) AS root, n FROM rc WHERE length(word) >= 2 UNION ALL SELECT root, n FROM ar) {b} GROUP BY root),
 bd AS (SELECT coalesce(lb.word, rb.word) AS word, coalesce(lb.be, 0) AS lbe, coalesce(rb.be, 0) AS rbe, coalesce(lb.av, 0) AS lav, coalesce(rb.av, 0) AS rav FROM lb FULL JOIN rb ON lb.word = rb.word)"""
 
 
@@ -365,7 +365,7 @@ def g01_vocabulary(spark, sf_dir):  # noqa: ANN001, ANN201
     return context.vocabulary(_sents(spark, sf_dir), 20)
 
 
-@query(f"WITH {_co(False)} SELECT word, context, round(weight, 6) + 0.0 AS weight FROM co")
+@query(f"WITH {_co(False)} SELECT word, context, CAST(round(weight, 6) AS DOUBLE) AS weight FROM co")
 def g02_cooccurrence(spark, sf_dir):  # noqa: ANN001, ANN201
     return _matrix(spark, sf_dir).select("word", "context", _r("weight"))
 
@@ -375,7 +375,7 @@ def g02_dynamic_weight(spark, sf_dir):  # noqa: ANN001, ANN201
     return _matrix(spark, sf_dir, True).select("word", "context", _r("weight", 4))
 
 
-@query(f"WITH {_co(False)} SELECT a.idx AS i, b.idx AS j, round(weight, 6) + 0.0 AS weight FROM co JOIN v a ON a.term = word JOIN v b ON b.term = context")
+@query(f"WITH {_co(False)} SELECT a.idx AS i, b.idx AS j, CAST(round(weight, 6) AS DOUBLE) AS weight FROM co JOIN v a ON a.term = word JOIN v b ON b.term = context")
 def g03_coordinates(spark, sf_dir):  # noqa: ANN001, ANN201
     s = _sents(spark, sf_dir)
     v = context.vocabulary(s, 20)

@@ -189,6 +189,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     blocks = parts.groupBy("source", "block").agg(items.alias("p"))
     total = sum(x[1] for x in have)
     wanted = slots(spark, have, total, per_shard, seed)
-    out = blocks.join(wanted, ["source", "block"])
+    # the planner takes the slots for as small as the range they are drawn from and would broadcast them,
+    # though they grow with the input; blocks are partitioned by these keys already
+    out = blocks.join(wanted.hint("shuffle_hash"), ["source", "block"])
     size = F.aggregate("p.n", F.lit(0), lambda x, y: x + y)
     return out.select("shard", "slot", "source", "epoch", "block", size.alias("n_tokens"), F.col("p.doc_id").alias("doc_ids"), F.array_join("p.piece", SEPARATOR).alias("text"))

@@ -2,8 +2,8 @@
 
 A line is a repeat if an earlier line, by (doc_id, line number), is within
 ``MAX_EDITS`` = 1 edits of it (insert, delete or replace a character).  Lines are
-trimmed of ASCII white space; those of fewer than ``min_chars`` characters are
-left alone.
+trimmed of ASCII white space.  Every line that isn't empty then takes part; only
+for the one edit both lines must have at least ``NEAR_CHARS`` characters.
 
 Equal lines meet in one aggregation by hash.  For distinct lines, any edit lies
 in one half, so the other half is equal: lines are keyed by each half (for either
@@ -37,7 +37,8 @@ from .common import keyed
 from .decontam import with_text
 from .textcore import _SPACE, Hasher, characters, chunks, mix, spans
 
-MIN_CHARS, MAX_EDITS = 16, 1
+#: MIN_CHARS is only the cut in the registered SQL, which doesn't see shorter lines.
+MIN_CHARS, NEAR_CHARS, MAX_EDITS = 16, 4, 1
 #: Variant keys that are joined at once; more are taken by ranges of the deleted position.
 VARIANTS = 2_000_000
 
@@ -238,13 +239,13 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     return found.groupBy("h").agg(F.min(F.struct("near_doc", "near_line")).alias("near")).select("h", "near.*")
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = 1, near_chars: int = NEAR_CHARS) -> DataFrame:
     """doc_id and line of each repeat, with the earliest line it repeats (kept_doc, kept_line) and their edit distance."""
     table = line_table(docs, min_chars)
     first = table.groupBy("h", "n").agg(
         F.min(F.struct("doc_id", "line")).alias("f"), F.count("*").alias("copies"), *[F.first(f"k{i}").alias(f"k{i}") for i in range(4)]
     ).select("h", "n", F.col("f.doc_id").alias("first_doc"), F.col("f.line").alias("first_line"), "copies", *[f"k{i}" for i in range(4)])
-    near = near_lines(docs, first)
+    near = near_lines(docs, first.where(F.col("n") >= near_chars))
     decided = first.select("h", "n", "first_doc", "first_line", "copies").join(near, "h", "left").where("copies > 1 or near_doc is not null")
     exact, other = F.struct(F.col("first_doc").alias("d"), F.col("first_line").alias("l")), F.struct(F.col("near_doc").alias("d"), F.col("near_line").alias("l"))
     keep = F.when(F.col("near_doc").isNull(), exact).otherwise(F.least(exact, other))

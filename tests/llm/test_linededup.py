@@ -79,3 +79,11 @@ def test_drop_and_edge_cases(spark):
     assert sorted(left, key=str) == sorted([(1, f"{a}\n{b}"), (2, "something of its own"), (4, None), (None, a), (5, ""), (8, "row of the second kind\n"), (8, "row of the second kind\n")], key=str)
     empty = spark.createDataFrame([], docs.schema)
     assert linededup.repeated_lines(empty).count() == 0 and linededup.drop_lines(empty, linededup.repeated_lines(empty)).count() == 0
+
+
+def test_short_lines(spark):
+    rows = [(1, "Les.\nx\nAnd ornd.\nab"), (2, "Les.\nac\nown line"), (3, " x \n\nAnd ornd!\nab\nxyz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = linededup.repeated_lines(docs)
+    assert sorted(tuple(r) for r in found.collect()) == [(2, 0, 1, 0, 0), (3, 0, 1, 1, 0), (3, 2, 1, 2, 1), (3, 3, 1, 3, 0)]
+    assert {r["doc_id"]: r["text"] for r in linededup.drop_lines(docs, found).collect()} == {1: rows[0][1], 2: "ac\nown line", 3: "\nxyz"}

@@ -4,7 +4,8 @@ The automaton holds every substring of the normalised test items (lower-cased
 runs of letters and digits).  Training tokens are streamed through it; the state
 gives the longest match that ends at each token.  A match is removed when it has
 at least ``min_tokens`` tokens, or at least ``coverage`` of some test item that
-contains it (never less than ``floor`` tokens).
+contains it (never less than ``floor`` tokens).  A shorter end of the longest match
+can cover a shorter item that holds it, so the suffix links are followed for those.
 
 Tokens can only be part of such a match inside a run of trigrams that all occur
 in test items, so the automaton is run on those runs alone; this loses nothing.
@@ -86,6 +87,14 @@ class SuffixAutomaton:
             self.link[new] = q if self.len[q] == self.len[p] + 1 else self._split(p, c, q)
         return new
 
+    def covering(self, coverage: float, floor: int) -> list[int]:
+        """For each state, the longest shorter suffix (as a state) that covers enough of an item; 0 for none."""
+        out = [0] * len(self.len)
+        for v in sorted(range(1, len(self.len)), key=self.len.__getitem__):
+            u = self.link[v]
+            out[v] = u if u and self.len[u] >= floor and self.len[u] >= coverage * self.short[u] else out[u]
+        return out
+
     def matches(self, seq: list[int]) -> Iterator[tuple[int, int, int]]:
         """(end, length, state) of the longest match that ends at each token."""
         v = length = 0
@@ -120,6 +129,7 @@ class Detector:
             groups[-1][1].append(name)
             grams.append(ngrams(h, row, 3)[0])
         self.automata = [SuffixAutomaton(*g) for g in groups]
+        self.covering = [sam.covering(coverage, floor) for sam in self.automata]
         self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
         self.map = np.zeros(1 << 20, bool)
         self.map[(self.grams >> np.uint64(44)).astype(np.int64)] = True
@@ -141,12 +151,14 @@ class Detector:
             if b - a < self.least:
                 continue
             seq, found = h[a:b].tolist(), []
-            for sam in self.automata:
+            for sam, covering in zip(self.automata, self.covering):
                 for i, n, v in sam.matches(seq):
                     if n >= self.min_tokens:
                         found.append((i - n + 1, i + 1, n, sam.item[v], "length"))
                     elif n >= self.floor and n >= self.coverage * sam.short[v]:
                         found.append((i - n + 1, i + 1, n, sam.item[v], "coverage"))
+                    elif u := covering[v]:
+                        found.append((i - sam.len[u] + 1, i + 1, sam.len[u], sam.item[u], "coverage"))
             merged: list[list] = []
             for f in sorted(found):
                 if merged and f[0] <= merged[-1][1]:

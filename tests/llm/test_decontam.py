@@ -99,3 +99,19 @@ def test_edge_cases(spark):
     left = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in decontam.clean(docs, bench).where("doc_id is null or doc_id <> 4").collect()), key=str)
     assert left == sorted([(1, "See: ! End", 10), (1, "See: ! End", 10), (2, None, None), (3, "", 0)], key=str)
     assert decontam.leaks(docs, bench.where("false")).count() == 0 and decontam.clean(docs.where("false"), bench).count() == 0
+
+
+def test_items_that_share_text(spark):
+    short = "a b c d e f g"
+    items = [(1, "x " + short + " " + " ".join(f"w{k}" for k in range(32))), (2, short)]
+    docs = spark.createDataFrame([(1, f"before x {short} after"), (2, "x a b c d e nothing")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert [(r["doc_id"], r["span"], r["match_tokens"], r["item_id"], r["reason"]) for r in decontam.leaks(docs, bench).collect()] == [(1, short, 7, 2, "coverage")]
+    r = random.Random(8)
+    vocab = [f"t{i}" for i in range(12)]
+    base = [r.choice(vocab) for _ in range(60)]
+    cuts = [sorted((r.randrange(60), r.randrange(60))) for _ in range(40)]
+    items = [(k, " ".join(base[a:b])) for k, (a, b) in enumerate(cuts)]
+    rows = [(d, " ".join([r.choice(vocab) for _ in range(5)] + base[(a := r.randrange(55)) : a + r.randint(4, 12)] + [r.choice(vocab) for _ in range(5)])) for d in range(60)]
+    got = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], c) for x in got for c in range(x["start"], x["end"])} == brute(rows, items, 13, 0.8, 6)

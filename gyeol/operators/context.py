@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import split_words
 from .vectorizer import _dense_index
 
+#: Vectors of a block; every block meets every other.
+BLOCK = 4096
+
 
 def vocabulary(sents: DataFrame, min_tf: int = 10) -> DataFrame:
     """idx, term, tf."""
@@ -89,3 +94,43 @@ def most_similar(items: DataFrame, query: object, key: str, vector: str, topk: i
     norm = F.sqrt(dot(F.col(vector), F.col(vector))) * F.sqrt(dot(F.col("qv"), F.col("qv")))
     out = both.select(key, F.when(norm == 0, 0.0).otherwise(dot(F.col(vector), F.col("qv")) / norm).alias("similarity"))
     return out.orderBy(F.desc("similarity"), key).limit(topk) if topk > 0 else out
+
+
+def all_similar(items: DataFrame, key: str, vector: str, topk: int = 10, block: int = BLOCK) -> DataFrame:
+    """query, key, similarity: for every item, the topk others with the highest cosine, ties by key.
+
+    Exact products of all pairs of blocks; keys are taken as unique, rows without key or vector take no part.
+    """
+    kind = items.schema[key].dataType.simpleString()
+    rows = items.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    parts = max(1, -(-rows.count() // block))
+    part, every = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    asks = rows.select("id", "v", part.alias("a"), every.alias("b"), F.lit(True).alias("asks"))
+    held = rows.select("id", "v", every.alias("a"), part.alias("b"), F.lit(False).alias("asks"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id").combine_chunks()
+        names = ["query", "id", "similarity"]
+        number = t["id"].combine_chunks().dictionary_encode().indices.to_numpy()
+        ask = t["asks"].to_numpy()
+        q, c = np.flatnonzero(ask), np.flatnonzero(~ask)
+        if not len(q) or not len(c):
+            return pa.Table.from_arrays([t["id"].slice(0, 0), t["id"].slice(0, 0), pa.array([], pa.float64())], names)
+        v = np.stack(t["v"].combine_chunks().to_numpy(zero_copy_only=False))
+        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+        sim = np.round(v[q] @ v[c].T, 12)
+        sim[number[q][:, None] == number[c][None, :]] = -np.inf
+        k = min(topk, len(c))
+        least = np.partition(sim, len(c) - k, axis=1)[:, len(c) - k]
+        i, j = np.nonzero((sim >= least[:, None]) & (sim > -np.inf))
+        o = np.lexsort((j, -sim[i, j], i))  # columns are in the order of keys
+        i, j = i[o], j[o]
+        first = np.searchsorted(i, i)
+        some = np.arange(len(i)) - first < k
+        i, j = i[some], j[some]
+        return pa.Table.from_arrays([t["id"].take(pa.array(q[i])), t["id"].take(pa.array(c[j])), pa.array(sim[i, j])], names)
+
+    found = asks.unionAll(held).groupBy("a", "b").applyInArrow(compare, f"query {kind}, id {kind}, similarity double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= topk).select("query", F.col("id").alias(key), "similarity")

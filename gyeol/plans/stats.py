@@ -417,4 +417,4 @@ def g07_svd(spark, sf_dir):  # noqa: ANN001, ANN201
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: CAST(embedding[i] AS DOUBLE) * q.e[i])) / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(q.e, lambda x: CAST(x AS DOUBLE) * x)))), 4) + 0.0 AS similarity FROM embeddings, q WHERE vec_id <> 0""")
 def g08_most_similar(spark, sf_dir):  # noqa: ANN001, ANN201
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return context.most_similar(e, 0, "vec_id", "embedding", topk=0).select("vec_id", _r("similarity", 4))
+    return context.all_similar(e, "vec_id", "embedding").select("query", "vec_id", _r("similarity", 4))

@@ -2,6 +2,7 @@
 
 The tables hold no Hangul, so functions of Hangul run on inline rows, with results
 derived by hand as their SQL; what doesn't depend on the script runs on the tables.
+The SQL of h03 to h06, j26 and b07 is of former inline rows, not of the documents.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def b06_remove_doublespace(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query(rows("s, two", ("와하하하하하하하하하핫", "와하하핫"), ("aab", "aab")))
 def b07_repeat_normalize(spark, sf_dir):  # noqa: ANN001, ANN201
-    return _strings(spark, "와하하하하하하하하하핫", "aab").select("s", h.repeat_normalize("s").alias("two"))
+    return _docs(spark, sf_dir).select("doc_id", h.repeat_normalize("text").alias("two"))
 
 
 @query(rows("s, three, compat", ("ㅋㅋㅋㅋㅋㅋㅋㅋㅋㅋㅋㅋㅋ쿠ㅜㅜㅜㅜㅜㅜ", "ㅋㅋㅋㅜㅜㅜ", "ㅋㅋㅋㅜㅜㅜ"), ("요ㅋㅋ", "요ㅋㅋ", "ㅋㅋ")))
@@ -161,30 +162,35 @@ def h02_l_tokenize(spark, sf_dir):  # noqa: ANN001, ANN201
     return tokenize.l_tokenize(s, scores).select("doc_id", "sent_id", F.array_join("tokens", " ").alias("tokens"))
 
 
-def _fixture(spark, text):  # noqa: ANN001, ANN202
-    return spark.createDataFrame([(1, 0, text)], "doc_id long, sent_id int, sent string")
+def _lexicon(spark, sf_dir):  # noqa: ANN001, ANN202
+    """The nouns of the corpus, by prediction from the features."""
+    return _predicted(spark, sf_dir).where("score >= 0.3").select(F.col("l").alias("word"), "score")
 
 
 def _pieces(df):  # noqa: ANN001, ANN202
-    return df.select(F.posexplode("words").alias("pos", "w")).select("pos", F.posexplode("w").alias("k", "x")).select("pos", "k", "x.*")
+    eojeols = df.select("doc_id", "sent_id", F.posexplode("words").alias("pos", "w"))
+    return eojeols.select("doc_id", "sent_id", "pos", F.posexplode("w").alias("k", "x")).select("doc_id", "sent_id", "pos", "k", "x.*")
 
 
 @query(rows("pos, k, token, b, e, score, length", (0, 0, "난", 0, 1, 0.0, 1), (0, 1, "파스타", 1, 4, 0.7, 3), (0, 2, "가", 4, 5, 0.0, 1), (1, 0, "좋아", 0, 2, 0.5, 2), (1, 1, "요", 2, 3, 0.0, 1)))
 def h03_max_score(spark, sf_dir):  # noqa: ANN001, ANN201
-    scores = spark.createDataFrame([("파스", 0.3), ("파스타", 0.7), ("좋아요", 0.2), ("좋아", 0.5)], "word string, score double")
-    return _pieces(tokenize.max_score_tokenize(_fixture(spark, "난파스타가 좋아요"), scores))
+    s = _sents(spark, sf_dir)
+    scores = wordstats.left_counts(s).select("word", (F.col("n") * F.pow(F.length("word") - 1, F.lit(2))).cast("double").alias("score"))
+    return _pieces(tokenize.max_score_tokenize(s, scores))
 
 
 @query(rows("pos, k, word, part", (0, 0, "데이터", "L"), (0, 1, "는", "R"), (1, 0, "새", "L"), (1, 1, "노래", "L"), (1, 2, "의", "R")))
 def h04_lr_tokenize(spark, sf_dir):  # noqa: ANN001, ANN201
-    return _pieces(tokenize.lr_tokenize(_fixture(spark, "데이터는 새노래의"), tokenize.LRTokenizer({"데이터": 1.0, "노래": 0.9}, {"는": 1.0, "의": 1.0})))
+    left = tokenize.dictionary(_lexicon(spark, sf_dir))
+    return _pieces(tokenize.lr_tokenize(_sents(spark, sf_dir), tokenize.LRTokenizer(left, POS)))
 
 
 @query(rows("kind, tokens", ("chain", "데이터센터 데이터"), ("match", "데이터센터 데이터 데이터")))
 def h05_h06_noun_tokens(spark, sf_dir):  # noqa: ANN001, ANN201
-    s, n = _fixture(spark, "데이터센터의 새데이터 데이터는"), spark.createDataFrame([("데이터", 1.0), ("센터", 1.0)], "word string, score double")
+    s, n = _sents(spark, sf_dir), _lexicon(spark, sf_dir)
     j = F.array_join("tokens", " ").alias("tokens")
-    return tokenize.noun_prefix_tokenize(s, n).select(F.lit("chain").alias("kind"), j).union(tokenize.noun_match_tokenize(s, n).select(F.lit("match"), j))
+    chain, match = tokenize.noun_prefix_tokenize(s, n), tokenize.noun_match_tokenize(s, n)
+    return chain.select("doc_id", "sent_id", F.lit("chain").alias("kind"), j).union(match.select("doc_id", "sent_id", F.lit("match"), j))
 
 
 POS, NEG, WEIGHTS = ("s", "ing", "ed", "er", "'s"), ("ly", "tion", "s", "ment"), {"s": 0.9, "ing": 0.2, "ed": -0.4, "er": 0.6, "ly": -1.0, "ment": 0.8}
@@ -279,8 +285,8 @@ def j18_stem_to_adverb(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query(rows("pos, k, word, tag", (0, 0, "너무너무너무", "Noun"), (0, 1, "는", "Josa"), (0, 2, "아이오아이", "Noun"), (0, 3, "의", "Josa"), (0, 4, "노래", "Noun"), (0, 5, "입니다", "Josa"), (0, 6, "!!", None)))
 def j26_tag(spark, sf_dir):  # noqa: ANN001, ANN201
-    d = tagger.Dictionary({"Adverb": ["너무", "매우"], "Noun": ["너무너무너무", "아이오아이", "아이", "노래", "오", "이", "고양"], "Josa": ["는", "의", "이다", "입니다", "이", "이는", "를", "라", "라는"]})
-    return tagger.tag(_fixture(spark, "너무너무너무는아이오아이의노래입니다!!"), tagger.lr_tagger(d)).select("pos", "k", "word", "tag")
+    words = _lexicon(spark, sf_dir).select(F.lit("Noun").alias("tag"), "word").union(spark.createDataFrame([("Josa", w) for w in POS], "tag string, word string"))
+    return tagger.tag(_sents(spark, sf_dir), tagger.lr_tagger(tagger.Dictionary.of(words)))
 
 
 @query(rows("tag, label", *tagger.LABELS.items()))

@@ -5,8 +5,6 @@ from __future__ import annotations
 import random
 import re
 
-import numpy as np
-
 from gyeol.llm import decontam
 
 
@@ -78,14 +76,36 @@ def test_automaton_lengths():
             assert sam.short[v] == min(map(len, inside(seq[i - n + 1 : i + 1])))
 
 
-def test_several_automata(monkeypatch):
-    items = [(k, f"the item {k} has words of its own like a{k} b{k} c{k} d{k} e{k} f{k} g{k}") for k in range(30)]
-    raw = np.frombuffer((items[3][1] + " and " + items[27][1]).encode(), np.uint8)
-    off = np.array([0, len(raw)])
-    whole = decontam.Detector(items, 13, 0.8, 6).spans(raw, off)
-    monkeypatch.setattr(decontam, "AUTOMATON_TOKENS", 40)
-    split = decontam.Detector(items, 13, 0.8, 6)
-    assert len(split.automata) > 5 and sorted(x[:3] for x in split.spans(raw, off)) == sorted(x[:3] for x in whole) and len(whole) == 2
+def spread(rows):
+    return sorted((r["doc_id"], r["start"], r["end"], r["match_tokens"], r["item_id"], r["reason"], r["span"]) for r in rows)
+
+
+def test_any_number_of_automata(spark):
+    """Overlapping items in one automaton or in one each: equal spans and texts."""
+    r = random.Random(3)
+    vocab = [f"t{i}" for i in range(14)]
+    base = [r.choice(vocab) for _ in range(80)]
+    items = [(f"i{k}", " ".join(base[(a := r.randrange(60)) : a + r.randint(4, 20)])) for k in range(14)] + [("i90", "t1 " * 20)]
+    rows = [(f"d{d}", " ".join([r.choice(vocab) for _ in range(4)] + base[(a := r.randrange(60)) : a + r.randint(4, 30)] + [r.choice(vocab) for _ in range(4)]), d) for d in range(40)]
+    rows += [(None, rows[0][1], 77), ("d0", "another text under the same id " + items[3][1], 78), rows[1]]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, b0 int")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    whole, split = decontam.leaks(docs, bench), decontam.leaks(docs, bench, tokens=20)
+    assert len(decontam.detectors(bench, 0.8, 6, 20)) > 3
+    assert spread(whole.collect()) == spread(split.collect()) and whole.count() > 20
+    assert {(x["doc_id"], c) for x in whole.where("doc_id <> 'd0'").collect() for c in range(x["start"], x["end"])} == {x for x in brute(rows, items, 13, 0.8, 6) if x[0] != "d0"}
+    one, many = decontam.clean(docs, bench).collect(), decontam.clean(docs, bench, tokens=20).collect()
+    assert sorted(map(str, one)) == sorted(map(str, many)) and {x["b0"] for x in one} >= {77, 78}
+
+
+def test_items_that_overlap_in_a_document(spark):
+    """Two items whose matches overlap leave no token behind."""
+    first, second = " ".join(f"t{k}" for k in range(20)), " ".join(f"t{k}" for k in range(10, 30))
+    docs = spark.createDataFrame([(1, "start " + " ".join(f"t{k}" for k in range(30)) + " end")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, first), (2, second)], "item_id long, text string")
+    for tokens in (500_000, 2):
+        assert [(x["span"].split()[0], x["span"].split()[-1], x["item_id"]) for x in decontam.leaks(docs, bench, tokens=tokens).collect()] == [("t0", "t29", 1)]
+        assert [x["text"] for x in decontam.clean(docs, bench, tokens=tokens).collect()] == ["start  end"]
 
 
 def test_edge_cases(spark):
@@ -95,7 +115,7 @@ def test_edge_cases(spark):
     rows = [(1, f"See: {item.title()}! End", 30, "a"), (2, None, None, "b"), (3, "", 0, None), (None, item, 5, "c"), (4, long + item, 7, "d"), (5, item, 9, "e"), (1, f"See: {item.title()}! End", 30, "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, reason string")
     got = decontam.leaks(docs, bench).collect()
-    assert sorted(r["doc_id"] for r in got) == [1, 1, 4, 5] and {r["item_id"] for r in got} == {1}
+    assert sorted(r["doc_id"] for r in got) == [1, 4, 5] and {r["item_id"] for r in got} == {1}
     left = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in decontam.clean(docs, bench).where("doc_id is null or doc_id <> 4").collect()), key=str)
     assert left == sorted([(1, "See: ! End", 10), (1, "See: ! End", 10), (2, None, None), (3, "", 0)], key=str)
     assert decontam.leaks(docs, bench.where("false")).count() == 0 and decontam.clean(docs.where("false"), bench).count() == 0

@@ -6,20 +6,24 @@ digits; a shorter document is one shingle).  Of ``HASHES`` minima only the low
 give candidates; the similarity of a pair is estimated from the share m of equal
 b-bit values, corrected for chance collisions: (m - 2^-b) / (1 - 2^-b).
 
-Documents with equal signatures are one node.  Within a bucket, each node is
+Documents with equal signatures and band keys are one node.  Within a bucket, each node is
 compared with the first one; nodes that fail are compared with every other node of
 the bucket, while those that pass are linked already.  So the components are those
 of all candidate pairs above the threshold, but a bucket of n copies costs n
 comparisons.  Components come from alternating minimum-label rounds, each cut by a
-checkpoint; a group keeps the document with its lowest doc_id.
-
-Defined cases: rows without doc_id or text take no part and stay.  All texts
-without a word (empty ones, too) are duplicates of each other only if equal in
-that they have none.  Rows that repeat a doc_id with the same text: one stays.
+checkpoint; a group keeps the document with its lowest doc_id (then text hash).
+
+Defined cases: rows without doc_id or text take no part and stay.  Texts without a
+word (empty ones, too) are duplicates only if they are equal.  Rows that repeat a
+doc_id with the same text: one stays.  A row is known by doc_id and text, so of one
+doc_id with several texts only those go that repeat another document or each other.
+Columns are taken by name, whatever others are called; texts of any length are read
+whole.  Without documents there are no duplicates.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +52,10 @@ def minima(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     have[owner] = True
     lone = np.flatnonzero(~have)  # fewer words than a shingle: one shingle of what there is
     if len(lone):
-        g = np.concatenate([g, Hasher(low)(*_outer(s, e, row, lone))])
+        lo, hi = _outer(s, e, row, lone)
+        bare = hi == lo  # no word: the whole text
+        lo[bare], hi[bare] = off[:-1][lone][bare], off[1:][lone][bare]
+        g = np.concatenate([g, Hasher(low)(lo, hi)])
         owner = np.concatenate([owner, lone])
         order = np.argsort(owner, kind="stable")
         g, owner = g[order], owner[order]
@@ -96,20 +103,21 @@ def band_keys(m: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, sig (packed bits) and keys (one for each band)."""
-    docs = keyed(docs, "text")
+    """doc_id, h (of the text), sig (packed bits), keys (one for each band) and node (128 bits, equal where sig and keys are)."""
+    docs = keyed(docs, "text").withColumn("h", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, c, data, off in chunks(b.column(1)):
                 m = minima(data, off)
-                sig = pa.array([r.tobytes() for r in packed(m)], pa.binary())
-                keys = band_keys(m).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, c - a), sig, lists], ["doc_id", "sig", "keys"])
+                bits, bands = packed(m), band_keys(m).view(np.int64)
+                node = [hashlib.blake2b(x.tobytes() + y.tobytes(), digest_size=16).digest() for x, y in zip(bits, bands)]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
+                sig = pa.array([r.tobytes() for r in bits], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, c - a), b.column(2).slice(a, c - a), sig, lists, pa.array(node, pa.binary())], ["doc_id", "h", "sig", "keys", "node"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, sig binary, keys array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, h long, sig binary, keys array<bigint>, node binary")
 
 
 def bucket_edges(start: np.ndarray, ids: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -188,14 +196,18 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
+def _decided(sig: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, h, sig of every document that repeats another, with keep_id, keep_h and keep_sig of the one that stays."""
+    nodes = sig.groupBy("node").agg(F.min(F.struct("doc_id", "h", "sig")).alias("low"), F.first("keys").alias("keys"))  # keys are equal within a node
+    root = components(edges(nodes.select(F.col("node").alias("id"), "low.sig", "keys"), threshold)).select(F.col("id").alias("node"), "root")
+    of = nodes.select("node", "low").join(root, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    keep = of.groupBy("root").agg(F.min("low").alias("keep"))
+    kept = of.select("node", "root").join(keep, "root").select("node", F.col("keep.doc_id").alias("keep_id"), F.col("keep.h").alias("keep_h"), F.col("keep.sig").alias("keep_sig"))
+    return sig.select("doc_id", "h", "sig", "node").distinct().join(kept, "node").where("doc_id <> keep_id or h <> keep_h").drop("node")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document that repeats another: doc_id, keep_id (its group's lowest doc_id) and their estimated similarity."""
-    sig = cut(signatures(docs))
-    nodes = sig.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    root = components(edges(nodes, threshold))
-    of = nodes.select("id", F.col("sig").alias("node_sig")).join(root, "id", "left").select("node_sig", F.coalesce("root", "id").alias("keep_id"))
-    kept = nodes.select(F.col("id").alias("keep_id"), F.col("sig").alias("keep_sig"))
-    pairs = sig.select("doc_id", "sig").distinct().join(of, F.col("sig") == F.col("node_sig")).where("doc_id <> keep_id").join(kept, "keep_id")
 
     @F.pandas_udf("double")
     def estimate(x, y):  # noqa: ANN001, ANN202
@@ -204,20 +216,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         rows = lambda c: np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1)
         return pd.Series(similarity(rows(x), rows(y)) if len(x) else np.zeros(0))
 
-    return pairs.select("doc_id", "keep_id", F.round(estimate("sig", "keep_sig"), 6).alias("similarity"))
+    return _decided(cut(signatures(docs)), threshold).select("doc_id", "keep_id", F.round(estimate("sig", "keep_sig"), 6).alias("similarity"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without near-duplicates: one of each group stays, and one of rows equal in doc_id and text."""
-    gone = near_duplicates(docs, threshold).select(F.col("doc_id").alias("gone_doc")).distinct()
-    twice = keyed(docs, "text").groupBy(F.col("doc_id").alias("gone_doc")).count().where("count > 1").select("gone_doc")
-    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    of = inner[f"c{docs.columns.index('doc_id')}"]
-    text = f"c{docs.columns.index('text')}"
-    left = inner.join(gone, of == F.col("gone_doc"), "left_anti")
-    marks = twice.withColumn("twice", F.lit(True))
-    left = left.join(marks, of == F.col("gone_doc"), "left").drop("gone_doc")
-    lone = left.where("twice is null").drop("twice")
-    several = left.where("twice").drop("twice")
-    several = several.where(F.col(text).isNotNull()).dropDuplicates([f"c{docs.columns.index('doc_id')}", text]).union(several.where(F.col(text).isNull()))
-    return lone.union(several).toDF(*docs.columns)
+    sig = cut(signatures(docs))
+    gone = _decided(sig, threshold).select(F.col("doc_id").alias("mark_doc"), F.col("h").alias("mark_h"), F.lit(True).alias("gone"))
+    twice = sig.groupBy(F.col("doc_id").alias("mark_doc"), F.col("h").alias("mark_h")).count().where("count > 1").select("mark_doc", "mark_h", F.lit(False).alias("gone"))
+    marks = gone.union(twice).groupBy("mark_doc", "mark_h").agg(F.max("gone").alias("gone"))
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    of, text = inner[f"c{names.index('doc_id')}"], inner[f"c{names.index('text')}"]
+    left = inner.join(marks, (of == F.col("mark_doc")) & (F.xxhash64(text) == F.col("mark_h")) & text.isNotNull(), "left").where("gone is null or not gone")
+    lone = left.where("gone is null").drop("mark_doc", "mark_h", "gone")
+    several = left.where("gone is not null").dropDuplicates(["mark_doc", "mark_h"]).drop("mark_doc", "mark_h", "gone")
+    return lone.union(several).toDF(*names)

@@ -86,10 +86,10 @@ def test_edge_cases(spark):
     rows = [(1, "", "a", 1), (2, "", None, 2), (3, None, "b", 3), (None, "some words in here", "c", 4), (4, "!!!", "d", None), (5, long, "e", 5), (6, long + " end", "f", 6), (7, "one", "g", 7), (7, "one", "h", 8), (8, "One.", "i", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, keep_id string, gone_doc long")
     got = {r["doc_id"]: r["keep_id"] for r in minhash.near_duplicates(docs).collect()}
-    assert got == {2: 1, 4: 1, 6: 5, 8: 7}
+    assert got == {2: 1, 6: 5, 8: 7}  # 4 has no word either, but another text
     left = minhash.keep_one(docs)
     assert left.columns == docs.columns
-    assert sorted((r["doc_id"] or 0) for r in left.collect()) == [0, 1, 3, 5, 7]
+    assert sorted((r["doc_id"] or 0) for r in left.collect()) == [0, 1, 3, 4, 5, 7]
     empty = spark.createDataFrame([], docs.schema)
     assert minhash.near_duplicates(empty).count() == 0 and minhash.keep_one(empty).count() == 0
 
@@ -98,3 +98,13 @@ def test_a_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101)], "a long, b long")
     got = {r["id"]: r["root"] for r in minhash.components(links).collect()}
     assert all(got[i] == 0 for i in range(1, 51)) and got[101] == 100
+
+
+def test_one_id_with_two_texts(spark):
+    """Only the text that repeats another goes, and groups don't merge through the id."""
+    x, y = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    docs = spark.createDataFrame([(0, x), (1, x), (1, y), (2, "+++ ---"), (3, "=== ***"), (4, "+++ ---"), (5, y)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["keep_id"]) for r in minhash.near_duplicates(docs).collect()) == [(1, 0), (4, 2), (5, 1)]
+    assert sorted((r["doc_id"], r["text"]) for r in minhash.keep_one(docs).collect()) == [(0, x), (1, y), (2, "+++ ---"), (3, "=== ***")]
+    named = docs.selectExpr("concat('d', doc_id) as doc_id", "text")
+    assert minhash.keep_one(named).count() == 4

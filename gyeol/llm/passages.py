@@ -21,8 +21,12 @@ segments report is the union of all such matches: nothing is lost.
 Results are half-open intervals of token numbers.
 
 Defined cases: rows without doc_id or text, and texts of fewer than MIN_TOKENS tokens,
-give nothing.  Rows with one doc_id are one document: they don't count as copies of
-each other in operator 6, and equal positions aren't earlier in operator 8.
+give nothing.  Rows with equal doc_id and text are one document; texts that share a
+doc_id are documents of their own, in the order of their hashes (``h``, which
+``with_h`` returns and ``remove`` needs if ids repeat).  Of ties, the lowest doc_id,
+text hash and position is the first copy.  Texts of any length are read whole, and a
+passage is found wherever it lies; without documents there are no intervals.  Columns
+are taken by name, whatever others are called.
 """
 
 from __future__ import annotations
@@ -67,29 +71,36 @@ def anchors(data: np.ndarray, off: np.ndarray, min_tokens: int, k: int) -> tuple
     return g[i], at[i] - first[own[i]], own[i]
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return keyed(docs, "text").withColumn("h", F.xxhash64("text"))
+
+
 def anchor_table(docs: DataFrame, min_tokens: int, k: int) -> DataFrame:
-    docs = keyed(docs, "text")
+    """doc (doc_id and hash of the text), pos and anchor."""
+    docs = _rows(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, _, data, off in chunks(b.column(1)):
                 g, pos, row = anchors(data, off, min_tokens, k)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(a + row)), pa.array(pos.astype(np.int32)), pa.array(g.view(np.int64))], ["doc_id", "pos", "anchor"])
+                at = pa.array(a + row)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(pos.astype(np.int32)), pa.array(g.view(np.int64))], ["doc_id", "h", "pos", "anchor"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, pos int, anchor long")
+    return docs.mapInArrow(run, f"doc_id {kind}, h long, pos int, anchor long")
 
 
 def segments(docs: DataFrame, across: bool, min_tokens: int, k: int) -> DataFrame:
-    """anchor, doc_id, start, tokens (32-bit hashes): what surrounds each repeated anchor.
+    """anchor, doc_id, h, start, tokens (32-bit hashes): what surrounds each repeated anchor.
 
     across: only anchors that two documents have.
     """
     w = Window.partitionBy("anchor")
     found = anchor_table(docs, min_tokens, k)
-    again = F.min("doc_id").over(w) < F.max("doc_id").over(w) if across else F.count("*").over(w) > 1
-    shared = found.withColumn("again", again).where("again").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "anchor")).alias("anchors"))
-    texts = keyed(docs, "text").join(shared, "doc_id").select("doc_id", "anchors", "text")
+    own = F.struct("doc_id", "h")
+    again = F.min(own).over(w) < F.max(own).over(w) if across else F.count("*").over(w) > 1
+    shared = found.withColumn("again", again).where("again").groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "anchor")).alias("anchors"))
+    texts = _rows(docs).join(shared, ["doc_id", "h"]).select("doc_id", "anchors", "text", "h")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +116,6 @@ def segments(docs: DataFrame, across: bool, min_tokens: int, k: int) -> DataFram
                 first = np.cumsum(n) - n
                 i = np.arange(ends[a], ends[c])
                 own = np.repeat(np.arange(c - a), np.diff(ends[a : c + 1]))
-                ok = pos[i] + k <= n[own]  # else of another row with this doc_id
-                i, own = i[ok], own[ok]
                 lo = np.maximum(pos[i] - min_tokens, 0)
                 hi = np.minimum(pos[i] + k + min_tokens, n[own])
                 size = hi - lo
@@ -116,9 +125,10 @@ def segments(docs: DataFrame, across: bool, min_tokens: int, k: int) -> DataFram
                     v = min(len(i), u + 20_000)
                     part = h[take[to[u] : to[v]]]
                     body = pa.BinaryArray.from_buffers(pa.binary(), v - u, [None, pa.py_buffer(((to[u : v + 1] - to[u]) * 4).astype(np.int32).tobytes()), pa.py_buffer(part.tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[i[u:v]]), b.column(0).take(pa.array(a + own[u:v])), pa.array(lo[u:v].astype(np.int32)), body], ["anchor", "doc_id", "start", "tokens"])
+                    pick = pa.array(a + own[u:v])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[i[u:v]]), b.column(0).take(pick), b.column(3).take(pick), pa.array(lo[u:v].astype(np.int32)), body], ["anchor", "doc_id", "h", "start", "tokens"])
 
-    return texts.mapInArrow(run, f"anchor long, doc_id {kind}, start int, tokens binary")
+    return texts.mapInArrow(run, f"anchor long, doc_id {kind}, h long, start int, tokens binary")
 
 
 Finder = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
@@ -141,7 +151,7 @@ def by_previous_factor(ids: np.ndarray, begin: np.ndarray, size: np.ndarray, doc
 
 
 def intervals(segs: DataFrame, finder: Finder, min_tokens: int, k: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """doc_id, start, end: merged intervals that matches of at least min_tokens cover."""
+    """doc_id, h, start, end: merged intervals that matches of at least min_tokens cover."""
     kind = segs.schema["doc_id"].dataType.simpleString()
     longest = 2 * min_tokens + k
 
@@ -156,13 +166,16 @@ def intervals(segs: DataFrame, finder: Finder, min_tokens: int, k: int, shard_to
         begin = ends[:-1] + np.arange(len(size))
         ids = np.zeros(len(body) + len(size), np.int64)
         ids[np.arange(len(body)) + np.repeat(np.arange(len(size)), size)] = dense + 1
-        docs = t["doc_id"].combine_chunks()
+        docs, h = t["doc_id"].combine_chunks(), t["h"].to_numpy()
         code = docs.dictionary_encode()
         names = code.dictionary
         order = np.argsort(np.array(names.to_pylist(), object), kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         doc = rank[code.indices.to_numpy()]
+        order = np.lexsort((h, doc))
+        new = (np.diff(doc[order]) != 0) | (np.diff(h[order]) != 0)
+        doc[order] = np.concatenate([[0], np.cumsum(new)])
         start = t["start"].to_numpy().astype(np.int64)
         length = finder(ids, begin, size, doc, start, longest)
         p = np.flatnonzero(length >= min_tokens)
@@ -178,7 +191,7 @@ def intervals(segs: DataFrame, finder: Finder, min_tokens: int, k: int, shard_to
             new = np.concatenate([[True], (d[1:] != d[:-1]) | (lo[1:] > far[:-1])])
             at = np.flatnonzero(new)
             lo, hi, seg = lo[at], far[np.append(at[1:], len(o)) - 1], seg[at]
-        return pa.RecordBatch.from_arrays([docs.take(pa.array(seg)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["doc_id", "start", "end"])
+        return pa.RecordBatch.from_arrays([docs.take(pa.array(seg)), pa.array(h[seg]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["doc_id", "h", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tokens = [], 0
@@ -186,7 +199,7 @@ def intervals(segs: DataFrame, finder: Finder, min_tokens: int, k: int, shard_to
             if not b.num_rows:
                 continue
             held.append(b)
-            tokens += b.column(3).nbytes // 4
+            tokens += b.column(4).nbytes // 4
             if tokens >= shard_tokens:
                 t = pa.Table.from_batches(held).combine_chunks()
                 key = t["anchor"].to_numpy()
@@ -209,29 +222,38 @@ def intervals(segs: DataFrame, finder: Finder, min_tokens: int, k: int, shard_to
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    found = segs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, f"doc_id {kind}, start int, end int")
-    w = Window.partitionBy("doc_id").orderBy("start", "end")
+    found = segs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, f"doc_id {kind}, h long, start int, end int")
+    w = Window.partitionBy("doc_id", "h").orderBy("start", "end")
     far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.distinct().withColumn("new", F.when(far.isNull() | (F.col("start") > far), 1).otherwise(0))
-    return marked.withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")
+    return marked.withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "h", "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")
 
 
-def repeated_across(docs: DataFrame, min_tokens: int = MIN_TOKENS, k: int = GRAM, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def repeated_across(docs: DataFrame, min_tokens: int = MIN_TOKENS, k: int = GRAM, shard_tokens: int = SHARD_TOKENS, with_h: bool = False) -> DataFrame:
     """Operator 6: intervals of each document that another document has."""
-    return intervals(segments(docs, True, min_tokens, k), by_fm_index, min_tokens, k, shard_tokens)
+    found = intervals(segments(docs, True, min_tokens, k), by_fm_index, min_tokens, k, shard_tokens)
+    return found if with_h else found.drop("h")
 
 
-def later_copies(docs: DataFrame, min_tokens: int = MIN_TOKENS, k: int = GRAM, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def later_copies(docs: DataFrame, min_tokens: int = MIN_TOKENS, k: int = GRAM, shard_tokens: int = SHARD_TOKENS, with_h: bool = False) -> DataFrame:
     """Operator 8: intervals that an earlier place has."""
-    return intervals(segments(docs, False, min_tokens, k), by_previous_factor, min_tokens, k, shard_tokens)
+    found = intervals(segments(docs, False, min_tokens, k), by_previous_factor, min_tokens, k, shard_tokens)
+    return found if with_h else found.drop("h")
 
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents without the intervals, from the first byte of the first token to the last of the last."""
-    gone = found.groupBy(F.col("doc_id").alias("gone_doc")).agg(F.collect_list(F.struct("start", "end")).alias("gone_parts"))
+    """The documents without the intervals, from the first byte of the first token to the last of the last.
+
+    found: with h, if a doc_id may have several texts.
+    """
+    keys = ["doc_id", "h"] if "h" in found.columns else ["doc_id"]
+    gone = found.groupBy(*[F.col(k).alias(f"gone_{k}") for k in keys]).agg(F.collect_list(F.struct("start", "end")).alias("gone_parts"))
     names, inner = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
-    both = docs.toDF(*inner).join(gone, F.col(f"c{names.index('doc_id')}") == F.col("gone_doc"), "left").drop("gone_doc")
     at = names.index("text")
+    same = F.col(f"c{names.index('doc_id')}") == F.col("gone_doc_id")
+    if "h" in keys:
+        same = same & (F.xxhash64(f"c{at}") == F.col("gone_h"))
+    both = docs.toDF(*inner).join(gone, same, "left").select(*inner, "gone_parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

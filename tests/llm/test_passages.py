@@ -115,3 +115,12 @@ def test_wavelet_rank_and_matching_statistics():
         for p in range(len(s)):
             n = max((n for n in range(len(s) - p + 1) if any(s[p : p + n] in text[j] for j in range(12) if doc[j] != doc[k])), default=0)
             assert got[begin[k] + p] == n
+
+
+def test_one_id_with_two_texts(spark):
+    shared = " ".join(f"t{i}" for i in range(60))
+    rows = [(1, "start " + shared), (1, "another text with " + shared), (2, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert passages.repeated_across(docs).count() == 2
+    left = [r["text"] for r in passages.remove(docs, passages.later_copies(docs, with_h=True)).collect()]
+    assert sorted(left) in (sorted(["start ", rows[1][1], "a b c"]), sorted([rows[0][1], "another text with ", "a b c"]))

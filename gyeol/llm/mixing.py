@@ -16,8 +16,13 @@ Plan: one pass counts tokens by (source, bucket); one shuffle brings each bucket
 documents together in order, behind a row with the bucket's first position; one shuffle brings the pieces of a block together and
 serves the join, too.  A hot source is spread over ``BUCKETS`` buckets.
 
+The driver holds one row for each source, as does each task that draws.
+
 Defined cases: a null source counts as ''.  Null or empty texts and texts of white
 space have no token.  Rows without doc_id, and repeated rows, are mixed like others.
+A doc_id may be of any type; ties in the order of documents go by doc_id, then the
+hash of the text.  Texts of any length are cut at block bounds and nowhere else.  An
+empty table, or weights of 0 for all sources, give no rows.  Columns are taken by name.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
 from .textcore import Hasher, chunks, mix, tokens
 
 BLOCK, SLOTS, ALPHA, SEED, BUCKETS, SEPARATOR = 1024, 1024, 0.5, 11, 256, "\n<|doc|>\n"
@@ -63,7 +69,7 @@ def _prepared(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select(
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"),
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("doc_id"),
         F.col("text"),
     ).where(F.col("text").isNotNull())
 
@@ -87,8 +93,9 @@ def pieces(prepared: DataFrame, base: DataFrame, block: int) -> DataFrame:
     """source, block, at (first token in the block), n, doc_id, piece: every document cut at block bounds."""
     # a bucket's base travels as its first row; a join on the same keys would let the planner take its
     # partitioning for ours and give it up later when it turns the join into a broadcast
+    kind = prepared.schema["doc_id"].dataType.simpleString()
     docs = prepared.select("source", "bucket", F.lit(None).cast("long").alias("base"), "doc_id", "text", F.xxhash64("doc_id", F.lit(1)).alias("turn"), F.xxhash64("text").alias("h"))
-    heads = base.select("source", "bucket", "base", *[F.lit(None).cast(t).alias(n) for n, t in (("doc_id", "long"), ("text", "string"), ("turn", "long"), ("h", "long"))])
+    heads = base.select("source", "bucket", "base", *[F.lit(None).cast(t).alias(n) for n, t in (("doc_id", kind), ("text", "string"), ("turn", "long"), ("h", "long"))])
     both = docs.union(heads).repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.col("base").isNull(), "turn", "doc_id", "h").select("source", "bucket", "base", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +131,7 @@ def pieces(prepared: DataFrame, base: DataFrame, block: int) -> DataFrame:
                 take = pa.array(a + own)
                 yield pa.RecordBatch.from_arrays([src.take(take), pa.array(place[at] // block), pa.array((place[at] % block).astype(np.int32)), pa.array(size.astype(np.int32)), b.column(3).take(take), piece], ["source", "block", "at", "n", "doc_id", "piece"])
 
-    return both.mapInArrow(run, "source string, block long, at int, n int, doc_id long, piece string")
+    return both.mapInArrow(run, f"source string, block long, at int, n int, doc_id {kind}, piece string")
 
 
 def slots(spark, sources: list[tuple[str, int, float]], total: int, per_shard: int, seed: int) -> DataFrame:  # noqa: ANN001
@@ -174,16 +181,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     """
     spark = docs.sparkSession
     prepared = _prepared(docs, buckets)
-    counts = bucket_tokens(prepared).where("n > 0").toPandas()  # one row for each source and bucket
-    counts = counts.sort_values(["source", "bucket"], ignore_index=True)
-    counts["base"] = counts.groupby("source")["n"].cumsum() - counts["n"]
-    sizes = counts.groupby("source")["n"].sum()
-    have = [(s, -(-int(n) // block), float(weights.get(s, 0) if weights is not None else n**alpha)) for s, n in sizes.items()]
+    counts = written(bucket_tokens(prepared).where("n > 0"))  # at most one row for each source and bucket
+    sizes = counts.groupBy("source").agg(F.sum("n").alias("n")).collect()
+    have = [(r["source"], -(-r["n"] // block), float(weights.get(r["source"], 0) if weights is not None else r["n"] ** alpha)) for r in sorted(sizes)]
     have = [x for x in have if x[2] > 0]
-    schema = "shard long, slot long, source string, epoch long, block long, n_tokens int, doc_ids array<bigint>, text string"
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"shard long, slot long, source string, epoch long, block long, n_tokens int, doc_ids array<{kind}>, text string"
     if not have:
         return spark.createDataFrame([], schema)
-    base = spark.createDataFrame(counts[["source", "bucket", "base"]].astype({"bucket": "int32"}), "source string, bucket int, base long")
+    so_far = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    base = counts.select("source", "bucket", F.coalesce(so_far, F.lit(0)).alias("base"))
     parts = pieces(prepared, base, block)
     items = F.array_sort(F.collect_list(F.struct("at", "doc_id", "n", "piece")))
     blocks = parts.groupBy("source", "block").agg(items.alias("p"))

@@ -3,7 +3,9 @@
 ``decode`` reads PNG from a binary column: signature, chunks with their CRC, the
 zlib stream with its Adler checksum, and the five row filters, undone in numpy.
 Left, upper and upper-left neighbours are needed, so pixels of equal x + y are
-undone together, over all images of similar size at once.
+undone together, over all images of similar size at once, in bands of ``BAND`` rows:
+memory grows with the image, not with the square of its height.  The seven passes of
+an interlaced image are undone one by one.
 
 The hash takes the 8 x 8 lowest frequencies of the cosine transform of the image
 scaled to 32 x 32 by area (both are one matrix product from each side) and sets a
@@ -13,9 +15,11 @@ Colour types 0, 2, 3, 4 and 6 with 1 to 16 bits are read; alpha is ignored.
 
 Defined cases (``status``): 'null' for a null value; 'signature', 'chunk'
 (truncated, out of order), 'crc', 'header' (impossible values), 'zlib' (broken
-stream or checksum), 'size' (too few or too many bytes), 'filter' (unknown row
-filter) and 'interlaced' have null sizes and hash.  ``render`` turns text into a
-grey image of its bytes: null stays null, empty text is one black row.
+stream or checksum), 'size' (too few or too many bytes) and 'filter' (unknown row
+filter) have null sizes and hash.  ``render`` turns text into a grey image of its
+bytes: null stays null, empty text is one black row, and a text of any length is drawn
+whole.  Rows are independent, so repeated rows and ids give equal rows, ids may be null,
+an empty table gives none, and other columns don't matter.
 """
 
 from __future__ import annotations
@@ -35,8 +39,10 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
 WIDTH, SCALE, LOW = 128, 32, 8
-#: Bytes of pixels whose filters are undone together.
-GROUP = 400_000
+#: Bytes of pixels whose filters are undone together, and rows of an image.
+GROUP, BAND = 400_000, 256
+#: Width and height of the pixels' grid, and first column and row, of the passes of an interlaced image.
+PASSES = ((8, 8, 0, 0), (8, 8, 4, 0), (4, 8, 0, 4), (4, 4, 2, 0), (2, 4, 0, 2), (2, 2, 1, 0), (1, 2, 0, 1))
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -48,7 +54,19 @@ def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where((pa_ <= pb) & (pa_ <= pc_), a, np.where(pb <= pc_, b, c))
 
 
-def filtered(rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def filtered(rows: np.ndarray, first: np.ndarray, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_filtered`` gives, ``step`` rows at once."""
+    kinds, bodies = [np.zeros(0, np.uint8)], [rows[:0]]
+    for a in range(0, len(rows), step):
+        lead = min(a, 1)  # the row above comes along
+        own = first[(first >= a - lead) & (first < a + step)] - (a - lead)
+        kind, body = _filtered(rows[a - lead : a + step], own)
+        kinds.append(kind[lead:])
+        bodies.append(body[lead:])
+    return np.concatenate(kinds), np.concatenate(bodies)
+
+
+def _filtered(rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(filter of each row, filtered rows) of grey rows, by the least sum of absolute differences; first: rows that start an image."""
     x = rows.astype(np.int16)
     up = np.zeros_like(x)
@@ -116,12 +134,13 @@ class Image:
         self.width, self.height, self.depth, self.color, method, filters, lace = head
         if not self.width or not self.height or self.depth not in DEPTHS.get(self.color, ()) or method or filters or lace > 1 or (self.color == 3 and self.palette is None):
             return "header"
-        if lace:
-            return "interlaced"
         bits = self.depth * CHANNELS[self.color]
         self.step, self.row = max(1, bits // 8), -(-self.width * bits // 8)
+        grids = PASSES if lace else ((1, 1, 0, 0),)
+        sizes = [(-(-(self.width - x) // dx), -(-(self.height - y) // dy)) for dx, dy, x, y in grids]
+        self.passes = [Pass(self, w, h, -(-w * bits // 8), g) for (w, h), g in zip(sizes, grids) if w > 0 and h > 0]
         d = zlib.decompressobj()
-        want = (self.row + 1) * self.height
+        want = sum((p.row + 1) * p.height for p in self.passes)
         try:
             raw = d.decompress(b"".join(idat), want + 1)
         except zlib.error:
@@ -135,27 +154,50 @@ class Image:
             return "size" if d.eof or len(raw) > want else "zlib"
         if not d.eof:
             return "zlib"
-        lines = np.frombuffer(raw, np.uint8).reshape(self.height, self.row + 1)
-        self.filters, self.lines = lines[:, 0], lines[:, 1:]
-        return "filter" if (self.filters > 4).any() else "ok"
+        at = 0
+        for p in self.passes:
+            size = (p.row + 1) * p.height
+            lines = np.frombuffer(raw, np.uint8, size, at).reshape(p.height, p.row + 1)
+            p.filters, p.lines = lines[:, 0], lines[:, 1:]
+            at += size
+        return "filter" if any((p.filters > 4).any() for p in self.passes) else "ok"
+
+
+class Pass:
+    """The rows of an image, or of one pass of an interlaced one."""
 
+    def __init__(self, image: Image, width: int, height: int, row: int, grid: tuple[int, int, int, int]):
+        self.image, self.width, self.height, self.row, self.grid, self.step = image, width, height, row, grid, image.step
 
-def unfilter(images: list[Image]) -> list[np.ndarray]:
+
+def unfilter(images: list[Pass]) -> list[np.ndarray]:
     """The rows of images of equal step, with the filters undone."""
     step = images[0].step
-    high, wide = max(i.height for i in images), -(-max(i.row for i in images) // step)
-    steps = high + wide - 1
+    tall, wide = max(i.height for i in images), -(-max(i.row for i in images) // step)
+    out = [np.zeros((i.height, -(-i.row // step) * step), np.uint8) for i in images]
+    above = np.zeros((len(images), wide, step), np.int16)  # the last row of the band before
+    for top in range(0, tall, BAND):
+        live = [k for k, im in enumerate(images) if im.height > top]
+        block = _band([images[k] for k in live], top, min(BAND, tall - top), wide, above[live])
+        for n, k in enumerate(live):
+            got = block[n, : images[k].height - top].reshape(-1, wide * step)
+            out[k][top : top + len(got)] = got[:, : out[k].shape[1]]
+        above[live] = block[:, -1]
+    return [o[:, : im.row] for o, im in zip(out, images)]
+
+
+def _band(images: list[Pass], top: int, high: int, wide: int, above: np.ndarray) -> np.ndarray:
+    """(image, y, x, byte of the pixel) of the rows from top on, below the rows ``above``."""
+    step, steps = above.shape[2], high + wide - 1
     # (x + y, image, y, byte of the pixel)
     raw = np.zeros((steps, len(images), high, step), np.int16)
     kind = np.zeros((len(images), high, 1), np.int16)
+    block = np.zeros((len(images), high, wide * step), np.uint8)
     for k, im in enumerate(images):
-        kind[k, : im.height, 0] = im.filters
-        px = np.zeros((im.height, -(-im.row // step) * step), np.uint8)
-        px[:, : im.row] = im.lines
-        im.px = px.reshape(im.height, -1, step)
-    block = np.zeros((len(images), high, wide, step), np.uint8)
-    for k, im in enumerate(images):
-        block[k, : im.height, : im.px.shape[1]] = im.px
+        rows = im.lines[top : top + high]
+        kind[k, : len(rows), 0] = im.filters[top : top + high]
+        block[k, : len(rows), : im.row] = rows
+    block = block.reshape(len(images), high, wide, step)
     for y in range(high):
         raw[y : y + wide, :, y] = block[:, y].transpose(1, 0, 2)
     one, two, three, four = (kind == k for k in (1, 2, 3, 4))
@@ -165,6 +207,8 @@ def unfilter(images: list[Image]) -> list[np.ndarray]:
     some3, some4 = three.any(), four.any()
     for d in range(steps):
         up[:, 1:], corner[:, 1:] = last[:, :-1], before[:, :-1]
+        up[:, 0] = above[:, d] if d < wide else 0
+        corner[:, 0] = above[:, d - 1] if 0 < d <= wide else 0
         guess = last * one + up * two
         if some3:
             guess += ((last + up) >> 1) * three
@@ -178,19 +222,20 @@ def unfilter(images: list[Image]) -> list[np.ndarray]:
         before, last = last, now
     for y in range(high):
         block[:, y] = raw[y : y + wide, :, y].transpose(1, 0, 2)
-    return [block[k, : im.height].reshape(im.height, -1)[:, : im.row] for k, im in enumerate(images)]
+    return block
 
 
-def grey(im: Image, rows: np.ndarray) -> np.ndarray:
-    """(height, width) brightness from 0 to 255."""
+def grey(part: Pass, rows: np.ndarray) -> np.ndarray:
+    """(rows, width) brightness from 0 to 255."""
+    im, high = part.image, len(rows)
     n = CHANNELS[im.color]
     if im.depth == 16:
-        px = rows.reshape(im.height, im.width, n, 2)[..., 0]
+        px = rows.reshape(high, part.width, n, 2)[..., 0]
     elif im.depth < 8:
-        bits = np.unpackbits(rows, axis=1)[:, : im.width * im.depth].reshape(im.height, im.width, im.depth)
+        bits = np.unpackbits(rows, axis=1)[:, : part.width * im.depth].reshape(high, part.width, im.depth)
         px = (bits @ (1 << np.arange(im.depth)[::-1]))[..., None]
     else:
-        px = rows.reshape(im.height, im.width, n)
+        px = rows.reshape(high, part.width, n)
     if im.color == 3:
         px = im.palette[np.minimum(px[..., 0], len(im.palette) - 1)] if len(im.palette) else np.zeros((*px.shape[:2], 3))
     elif im.depth < 8:
@@ -200,47 +245,74 @@ def grey(im: Image, rows: np.ndarray) -> np.ndarray:
     return px[..., 0].astype(float)
 
 
-@lru_cache(maxsize=4096)
 def transform(n: int) -> np.ndarray:
     """(LOW, n): scale n pixels to SCALE by area, then the lowest cosine frequencies."""
+    return _transform(n) if n <= 4096 else _transform.__wrapped__(n)
+
+
+@lru_cache(maxsize=1024)
+def _transform(n: int) -> np.ndarray:
     edges = np.arange(SCALE + 1) * (n / SCALE)
     lo, hi = np.arange(n), np.arange(1, n + 1)
-    area = np.clip(np.minimum(edges[1:, None], hi) - np.maximum(edges[:-1, None], lo), 0, None) / (n / SCALE)
+    area = np.stack([np.clip(np.minimum(b, hi) - np.maximum(a, lo), 0, None) / (n / SCALE) for a, b in zip(edges, edges[1:])])
     k, i = np.arange(LOW)[:, None], np.arange(SCALE)
     return np.cos(np.pi * k * (2 * i + 1) / (2 * SCALE)) @ area
 
 
-def phash(image: np.ndarray) -> bytes:
-    c = np.round(transform(image.shape[0]) @ image @ transform(image.shape[1]).T, 4).ravel()
+def _bits(c: np.ndarray) -> bytes:
+    c = np.round(c, 4).ravel()
     return np.packbits(c > np.median(c[1:])).tobytes()
 
 
+def phash(image: np.ndarray) -> bytes:
+    return _bits(transform(image.shape[0]) @ image @ transform(image.shape[1]).T)
+
+
+def _hash(im: Image, rows: list[np.ndarray]) -> bytes:
+    """The hash of an image from the rows of its passes."""
+    if len(im.passes) == 1 and im.passes[0].grid == (1, 1, 0, 0):
+        down, across = transform(im.height), transform(im.width)
+        c = np.zeros((LOW, im.width))
+        block = max(1, GROUP // im.width)
+        for a in range(0, im.height, block):
+            c += down[:, a : a + block] @ grey(im.passes[0], rows[0][a : a + block])
+        return _bits(c @ across.T)
+    image = np.zeros((im.height, im.width))
+    for p, r in zip(im.passes, rows):
+        dx, dy, x, y = p.grid
+        image[y::dy, x::dx] = grey(p, r)
+    return phash(image)
+
+
 def hashes(files: list[bytes | None]) -> list[tuple[str, Image | None, bytes | None]]:
     """(status, image, hash) of each file."""
     out: list = [None] * len(files)
-    groups: dict[int, list[tuple[int, int, int, Image]]] = {}
+    groups: dict[int, list[tuple[int, int, int, Pass]]] = {}
     for k, data in enumerate(files):
         if data is None:
             out[k] = ("null", None, None)
             continue
         im = Image(data)
-        if im.status == "ok":
-            groups.setdefault(im.step, []).append((im.row, im.height, k, im))
-        else:
+        if im.status != "ok":
             out[k] = (im.status, None, None)
+        elif len(im.passes) == 1:
+            p = im.passes[0]
+            groups.setdefault(p.step, []).append((p.row, p.height, k, p))
+        else:
+            out[k] = ("ok", im, _hash(im, [unfilter([p])[0] for p in im.passes]))
+            im.passes = None
     for members in groups.values():
         members.sort(key=lambda m: m[:3])
         a = 0
         while a < len(members):
-            b, area, wide = a, 0, members[a][0]
-            high = 0
+            b, wide, high = a, members[a][0], 0
             while b < len(members) and (b == a or (members[b][0] == wide and max(high, members[b][1]) * wide * (b - a + 1) <= GROUP and members[b][1] <= 8 + members[a][1] * 5 // 4)):
                 high = max(high, members[b][1])
                 b += 1
             part = members[a:b]
-            for (_, _, k, im), rows in zip(part, unfilter([m[3] for m in part])):
-                out[k] = ("ok", im, phash(grey(im, rows)))
-                im.lines = im.px = None
+            for (_, _, k, p), rows in zip(part, unfilter([m[3] for m in part])):
+                out[k] = ("ok", p.image, _hash(p.image, [rows]))
+                p.image.passes = None
             a = b
     return out
 

@@ -8,13 +8,18 @@ of adjacent segments; dynamic programming over segment ends chooses boundaries a
 types jointly.  Weights are fitted by conditional likelihood (forward-backward over
 segments) on sentences made here with known spans.
 
-An entity contains a digit or '@', and has white space inside only between digits,
-signs and brackets.  So segments are scored inside maximal runs of words that hold
-a digit or '@'; elsewhere every segmentation but the outside one is impossible, and
-the scan that finds the runs is vectorised.
+An entity contains a digit or '@'; one of digits and signs alone has at most ``NUMBER``
+characters, one with white space at most ``SPACED``.  There is white space inside only between digits,
+signs and brackets, or between the groups of an IBAN (of digits and capitals).  So
+segments are scored inside maximal runs of words that hold a digit or '@', with single
+words in capitals between them; elsewhere every segmentation but the outside one is
+impossible, and the scan that finds the runs is vectorised.  The best segmentation is
+pushed forward from unit to unit, so that only the spans of one start are held at once.
 
 Defined cases: rows without doc_id or text, and empty texts, give nothing.  Equal
-rows give equal results, once each.  Texts of any length are scanned whole.
+rows give equal results, once each, and rows that share a doc_id but not the text each
+give their own.  Texts of any length are scanned whole, in time and memory in proportion.
+An empty table gives none.  Columns are taken by name, whatever others are called.
 """
 
 from __future__ import annotations
@@ -34,11 +39,16 @@ from .textcore import chunks, python_positions, tokens
 
 TYPES = ("O", "EMAIL", "PHONE", "IP", "CARD", "SSN", "SECRET", "IBAN")
 LONGEST = 16
+#: Characters of an entity without a letter and '@', and of one with white space inside (an IBAN in groups).
+NUMBER, SPACED = 24, 42
 _UNIT = re.compile(r"[^\W_]+|\S")
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[48:58] = True
 _TRIGGER[ord("@")] = True
 _JOIN = set("+-().")
+_SSN, _FOURS = re.compile(r"\d{3}-\d{2}-\d{4}", re.ASCII), re.compile(r"\d{4}([ -]\d{4}){3}", re.ASCII)
+_PHONE = re.compile(r"(\+\d{1,3}[ .-]?)?(\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}", re.ASCII)
+_IBAN, _IBAN_HEAD, _IBAN_PART = re.compile(r"[A-Za-z]{2}\d\d( \w{4})+( \w{1,4})?", re.ASCII), re.compile(r"[A-Z]{2}\d\d"), re.compile(r"[A-Z0-9]{1,4}")
 _HINTS = {"token": "secret", "secret": "secret", "key": "secret", "password": "secret", "apikey": "secret", "passwd": "secret", "bearer": "secret", "card": "card", "visa": "card", "credit": "card", "ssn": "ssn", "social": "ssn", "phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "ip": "ip", "host": "ip", "mail": "email", "email": "email", "iban": "iban", "account": "iban", "version": "version", "v": "version", "page": "version", "chapter": "version", "order": "version", "section": "version"}
 
 
@@ -77,11 +87,11 @@ def shape_features(span: str) -> tuple[str, ...]:
     if bare.isdigit() and bare.isascii():
         if 13 <= len(bare) <= 19:
             f += [f"luhn:{luhn(bare)}", f"card-like:{len(bare) in (15, 16)}"]
-    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", span, re.ASCII):
+    if nd == 9 and len(span) == 11 and _SSN.fullmatch(span):
         f.append("3-2-4")
-    if re.fullmatch(r"\d{4}([ -]\d{4}){3}", span, re.ASCII):
+    if nd == 16 and len(span) == 19 and _FOURS.fullmatch(span):
         f.append("4-4-4-4")
-    if re.fullmatch(r"(\+\d{1,3}[ .-]?)?(\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}", span, re.ASCII):
+    if not letters and 8 <= nd <= 15 and _PHONE.fullmatch(span):
         f.append("phone" + ("+" if span[0] == "+" else "(" if span[0] == "(" else ""))
     if span.isalnum() and span.isascii() and nd and letters:
         f.append(f"mixed:{min(len(span) // 8, 6)}")
@@ -89,7 +99,7 @@ def shape_features(span: str) -> tuple[str, ...]:
             f.append(f"hex:{min(len(span) // 8, 6)}")
         if 15 <= len(span) <= 34 and re.fullmatch(r"[A-Za-z]{2}\d\d\w+", span):
             f.append(f"iban:{iban_ok(span.upper())}")
-    elif re.fullmatch(r"[A-Za-z]{2}\d\d( \w{4})+( \w{1,4})?", span, re.ASCII):
+    elif letters > 1 and _IBAN.fullmatch(span):
         f.append(f"iban:{iban_ok(span.replace(' ', '').upper())}")
     if letters and nd and re.fullmatch(r"[\w-]{16,}", span, re.ASCII):
         f.append(f"key:{min(len(span) // 8, 6)}")
@@ -97,7 +107,7 @@ def shape_features(span: str) -> tuple[str, ...]:
 
 
 class Island:
-    """The units of one run of words, and its candidate spans with their features."""
+    """The units of one run of words, and the candidate spans from each with their features."""
 
     def __init__(self, text: str, before: str):
         found = list(_UNIT.finditer(text))
@@ -106,35 +116,51 @@ class Island:
         self.end = [m.end() for m in found]
         self.unit = [m.group() for m in found]
         words = re.findall(r"[^\W_]+", before.lower())[-3:]
-        lead = [x for w in words if (x := _HINTS.get(w))]
-        self.outside, self.spans = [], []  # spans[j]: candidates that end before unit j: (i, features)
-        n, unit = len(found), self.unit
-        self.spans = [[] for _ in range(n + 1)]
-        for i in range(n):
-            u = unit[i]
-            self.outside.append((f"o:{'d' + str(min(len(u), 5)) if u.isdigit() else 'a' if u.isalpha() else 'm' if u.isalnum() else u if u in '@.-+()' else 'p'}",))
-            if not (u.isalnum() or u in "+("):
+        self.lead = [x for w in words if (x := _HINTS.get(w))]
+
+    def outside(self, i: int) -> tuple[str, ...]:
+        u = self.unit[i]
+        return (f"o:{'d' + str(min(len(u), 5)) if u.isdigit() else 'a' if u.isalpha() else 'm' if u.isalnum() else u if u in '@.-+()' else 'p'}",)
+
+    def _gap(self, j: int, iban: bool) -> bool:
+        """True if an entity may go on over the white space before unit j."""
+        v, w = self.unit[j], self.unit[j - 1]
+        if self.start[j] - self.end[j - 1] > 1 or self.text[self.end[j - 1]] == "\n":
+            return False
+        if iban and _IBAN_PART.fullmatch(v):
+            return True
+        digit = lambda u: u[0].isdigit() or u in _JOIN or (u.isalnum() and any(c.isdigit() for c in u))
+        return digit(w) and digit(v)
+
+    def candidates(self, i: int) -> Iterator[tuple[int, tuple[str, ...]]]:
+        """(end, features) of the entities that may start at unit i."""
+        n, unit, text = len(self.unit), self.unit, self.text
+        u = unit[i]
+        if not (u.isalnum() or u in "+("):
+            return
+        trigger, plain, spaced, iban = False, True, False, _IBAN_HEAD.fullmatch(u) is not None
+        tight = i > 0 and self.end[i - 1] == self.start[i]
+        left = "left:" + ((unit[i - 1] if not unit[i - 1].isalnum() and unit[i - 1] in ".-@+(_/:" else "w" if unit[i - 1].isalnum() else "q") if tight else "space")
+        hint = self.lead if i < 2 else [x for k in range(max(0, i - 4), i) if (x := _HINTS.get(unit[k].lower()))] or (self.lead if i < 4 else [])
+        hints = tuple(f"hint:{h}" for h in hint[-1:])
+        for j in range(i + 1, min(n, i + LONGEST) + 1):
+            v = unit[j - 1]
+            if j - 1 > i and self.start[j - 1] > self.end[j - 2]:
+                if not self._gap(j - 1, iban):
+                    return
+                spaced = True
+            size = self.end[j - 1] - self.start[i]
+            plain = plain and not (v.isalpha() or v == "@" or (v.isalnum() and not v.isdigit()))
+            if size > (NUMBER if plain else SPACED if spaced else size):
+                return
+            trigger = trigger or v == "@" or any("0" <= c <= "9" for c in v)
+            if not trigger or not v.isalnum():
                 continue
-            trigger = False
-            tight = i > 0 and self.end[i - 1] == self.start[i]
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
-                v = unit[j - 1]
-                if j - 1 > i and self.start[j - 1] > self.end[j - 2]:
-                    w = unit[j - 2]
-                    if self.start[j - 1] - self.end[j - 2] > 1 or text[self.end[j - 2]] == "\n" or not ((w[0].isdigit() or w in _JOIN or (w.isalnum() and any(c.isdigit() for c in w))) and (v[0].isdigit() or v in _JOIN or (v.isalnum() and any(c.isdigit() for c in v)))):
-                        break
-                trigger = trigger or v == "@" or any("0" <= c <= "9" for c in v)
-                if not trigger or not v.isalnum():
-                    continue
-                f = list(shape_features(text[self.start[i] : self.end[j - 1]]))
-                f.append("left:" + ((unit[i - 1] if not unit[i - 1].isalnum() and unit[i - 1] in ".-@+(_/:" else "w" if unit[i - 1].isalnum() else "q") if tight else "space"))
-                tail = j < n and self.start[j] == self.end[j - 1]
-                nxt = unit[j] if tail else ""
-                more = tail and j + 1 < n and self.start[j + 1] == self.end[j] and unit[j + 1].isalnum()
-                f.append("right:" + (("space" if not tail else "w" if nxt.isalnum() else (nxt + "w" if nxt in ".-@_/:" and more else "q"))))
-                hint = lead if i < 2 else [x for k in range(max(0, i - 4), i) if (x := _HINTS.get(unit[k].lower()))] or (lead if i < 4 else [])
-                f += [f"hint:{h}" for h in hint[-1:]]
-                self.spans[j].append((i, f))
+            tail = j < n and self.start[j] == self.end[j - 1]
+            nxt = unit[j] if tail else ""
+            more = tail and j + 1 < n and self.start[j + 1] == self.end[j] and unit[j + 1].isalnum()
+            right = "right:" + ("space" if not tail else "w" if nxt.isalnum() else (nxt + "w" if nxt in ".-@_/:" and more else "q"))
+            yield j, (*shape_features(text[self.start[i] : self.end[j - 1]]), left, right, *hints)
 
 
 class SemiCRF:
@@ -142,7 +168,7 @@ class SemiCRF:
         self.w: dict[str, np.ndarray] = {}
         self.transition = np.zeros((len(TYPES), len(TYPES)))
 
-    def _score(self, features: list[str] | tuple[str, ...], entity: bool) -> np.ndarray:
+    def _score(self, features: tuple[str, ...], entity: bool) -> np.ndarray:
         s = np.zeros(len(TYPES))
         for f in features:
             if (v := self.w.get(f)) is not None:
@@ -153,32 +179,45 @@ class SemiCRF:
             s[1:] = -np.inf
         return s
 
-    def _edges(self, x: Island) -> list[list[tuple[int, list[str], np.ndarray]]]:
+    def _edges(self, x: Island) -> list[list[tuple[int, tuple[str, ...], np.ndarray]]]:
+        """Segments by their end: (start, features, scores)."""
         out = [[] for _ in range(len(x.unit) + 1)]
-        for j in range(1, len(x.unit) + 1):
-            out[j].append((j - 1, x.outside[j - 1], self._score(x.outside[j - 1], False)))
-            out[j] += [(i, f, self._score(f, True)) for i, f in x.spans[j]]
+        for i in range(len(x.unit)):
+            f = x.outside(i)
+            out[i + 1].append((i, f, self._score(f, False)))
+            for j, f in x.candidates(i):
+                out[j].append((i, f, self._score(f, True)))
         return out
 
     def segments(self, x: Island) -> list[tuple[int, int, int, float]]:
         """(first unit, end, type, score) of the entities of the best segmentation."""
-        n = len(x.unit)
-        best = np.full((n + 1, len(TYPES)), -np.inf)
+        n, k = len(x.unit), len(TYPES)
+        known: dict[tuple, np.ndarray] = {}  # scores by features: few shapes, many spans
+        best = np.full((n + 1, k), -np.inf)
         best[0, 0] = 0
-        back: list[list] = [[None] * len(TYPES) for _ in range(n + 1)]
-        for j, edges in enumerate(self._edges(x)):
-            for i, _, s in edges:
-                step = best[i][:, None] + self.transition
-                p = step.argmax(axis=0)
-                total = step[p, np.arange(len(TYPES))] + s
-                for y in np.flatnonzero(total > best[j]):
-                    best[j, y], back[j][y] = total[y], (i, int(p[y]), float(s[y]))
+        back, kind, score = np.zeros((n + 1, k), np.int8), np.zeros((n + 1, k), np.int8), np.zeros((n + 1, k), np.float32)
+        for i in range(n):
+            step = best[i][:, None] + self.transition
+            p = step.argmax(axis=0)
+            top = step[p, np.arange(k)]
+            f = x.outside(i)
+            for j, f, entity in ((i + 1, f, False), *((j, f, True) for j, f in x.candidates(i))):
+                s = known.get(f)
+                if s is None:
+                    if len(known) > 50_000:
+                        known.clear()
+                    s = known[f] = self._score(f, entity)
+                total = top + s
+                better = total > best[j]
+                if better.any():
+                    best[j][better] = total[better]
+                    back[j][better], kind[j][better], score[j][better] = j - i, p[better], s[better]
         out, j, y = [], n, int(best[n].argmax())
         while j:
-            i, p, s = back[j][y]
+            i = j - int(back[j, y])
             if y:
-                out.append((i, j, y, s))
-            j, y = i, p
+                out.append((i, j, y, float(score[j, y])))
+            j, y = i, int(kind[j, y])
         return out[::-1]
 
     def fit(self, data: list[tuple[Island, dict[tuple[int, int], int]]], epochs: int = 6, rate: float = 0.4, l2: float = 1e-3) -> None:
@@ -212,7 +251,7 @@ class SemiCRF:
                 inside = {i: (j, y) for (i, j), y in gold.items()}
                 while at < n:
                     j, y = inside.get(at, (at + 1, 0))
-                    f = next((f for i, f in x.spans[j] if i == at), None) if y else x.outside[at]
+                    f = next((f for i, f, _ in edges[j] if i == at and len(f) > 1), None) if y else x.outside(at)
                     if f is None:
                         break
                     one = np.zeros(len(TYPES))
@@ -247,9 +286,10 @@ def _examples(count: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int,
         return d if r.random() < 0.6 else pick("- ").join(d[i : i + 4] for i in range(0, 16, 4))
 
     def iban() -> str:
-        body = num(r.choice((18, 18, 20, 16)))
-        cc = pick(("DE", "FR", "ES", "GB", "NL"))
-        check = 98 - int(body + "".join(str(int(c, 36)) for c in cc) + "00") % 97
+        cc = pick(("DE", "DE", "FR", "ES", "GB", "NL", "IE"))
+        bank = "".join(pick(letters).upper() for _ in range(4))
+        body = {"DE": num(18), "FR": num(23), "ES": num(20), "GB": bank + num(14), "NL": bank + num(10), "IE": bank + num(14)}[cc]
+        check = 98 - int("".join(str(int(c, 36)) for c in body) + "".join(str(int(c, 36)) for c in cc) + "00") % 97
         s = f"{cc}{check:02d}{body}"
         return s if r.random() < 0.6 else " ".join(s[i : i + 4] for i in range(0, len(s), 4))
 
@@ -305,6 +345,12 @@ def islands(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, str,
         return
     s, e, row = tokens(data, off)
     hot = np.unique(np.searchsorted(s, at, "right") - 1)
+    # a word of up to four capitals between two such words belongs to them, too
+    gap = hot[:-1][np.diff(hot) == 2] + 1
+    lower = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data < 65) | (data > 90), out=lower[1:])
+    gap = gap[(e[gap] - s[gap] <= 4) & (lower[e[gap]] == lower[s[gap]])]
+    hot = np.union1d(hot, gap)
     same = (np.diff(hot) == 1) & (row[hot[1:]] == row[hot[:-1]])
     near = same & (s[hot[1:]] - e[hot[:-1]] == 1) & (data[np.minimum(e[hot[:-1]], len(data) - 1)] == 32)
     begin = np.flatnonzero(np.concatenate([[True], ~near]))
@@ -341,10 +387,12 @@ def entities(data: np.ndarray, off: np.ndarray, crf: SemiCRF) -> list[tuple[int,
     out = []
     for row, s, text, before in islands(data, off):
         x = Island(text, before)
+        done, at = 0, s  # characters and bytes so far
         for i, j, y, score in crf.segments(x):
             a, b = x.start[i], x.end[j - 1]
-            lead = s + len(text[:a].encode())
-            out.append((row, lead, lead + len(text[a:b].encode()), TYPES[y], text[a:b], score))
+            lead = at + len(text[done:a].encode())
+            done, at = b, lead + len(text[a:b].encode())
+            out.append((row, lead, at, TYPES[y], text[a:b], score))
     return out
 
 

@@ -2,8 +2,10 @@
 
 Bytes are embedded, filters of widths 2, 3 and 4 slide over fixed-length
 windows, each filter's maximum is kept, and a softmax gives language
-probabilities.  The network is trained in numpy on labelled text.  A document's
-probabilities are the mean over all of its windows, so the whole text counts.
+probabilities.  The network is trained in numpy on labelled text: a step draws
+documents from at most ``TRAIN_ROWS`` labelled ones and any window of each.  Only the
+windows drawn reach the driver.  A document's probabilities are the mean over all of
+its windows, so the whole text counts.
 
 For inference the embedding and the filters are folded into two tables that are
 indexed by byte pairs; a window position costs two look-ups and one addition.
@@ -12,7 +14,8 @@ Defined cases: a null text, or one without a letter, has no language (null,
 confidence 0, not kept).  A text shorter than a window is padded.  Documents with
 equal texts get equal results.  A tie goes to the language first in order.  Rows
 with a null label take no part in training; without any labelled row no language
-is given and nothing is kept.
+is given and nothing is kept.  Texts of any length are read whole.  Columns are taken
+by name, whatever others are called.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from .textcore import buffers, word_bytes
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 12, 8
 STRIDE = WINDOW - max(WIDTHS) + 1
-#: Bound on the labelled rows the classifier is fitted on, and on the windows it takes of each.
-TRAIN_ROWS, TRAIN_WINDOWS, STEPS, BATCH = 2000, 6, 500, 96
+#: Bound on the labelled rows the classifier is fitted on; steps of training and windows in each.
+TRAIN_ROWS, STEPS, BATCH = 2000, 500, 96
 #: Documents whose best language has less than this mean probability are rejected.
 MIN_CONFIDENCE = 0.4
 
@@ -38,7 +41,7 @@ MIN_CONFIDENCE = 0.4
 def windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(byte windows, row, bytes used): windows of WINDOW bytes every STRIDE bytes cover each row."""
     n = np.diff(off)
-    per = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
+    per = window_count(n)
     row = np.repeat(np.arange(len(n)), per)
     first = np.cumsum(per) - per
     at = off[:-1][row] + (np.arange(len(row)) - first[row]) * STRIDE
@@ -82,20 +85,31 @@ class ByteConvNet:
         return total / np.maximum(weight, 1)[:, None]
 
 
+def window_count(size: np.ndarray) -> np.ndarray:
+    """Windows of texts of these many bytes."""
+    return np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE)), 0)
+
+
+def draws(sizes: np.ndarray, steps: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, window of it) for each place in each step's batch."""
+    rng = np.random.default_rng(seed)
+    text = rng.integers(0, max(1, len(sizes)), steps * BATCH)
+    return text, (rng.random(steps * BATCH) * window_count(sizes)[text]).astype(np.int64) if len(sizes) else text * 0
+
+
 def train(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int = 7) -> ByteConvNet:
-    """Fit by Adam on the cross entropy of single windows; gradients flow through each filter's maximum."""
+    """Fit on windows of these texts, which must not be empty."""
+    text, window = draws(np.array([len(t) for t in texts], np.int64), steps, seed)
+    cut = lambda t, k: np.frombuffer(t[k * STRIDE : k * STRIDE + WINDOW].ljust(WINDOW, b"\0"), np.uint8)
+    win = np.stack([cut(texts[i], k) for i, k in zip(text.tolist(), window.tolist())]) if texts else np.zeros((0, WINDOW), np.uint8)
+    return train_windows(win, [labels[i] for i in text.tolist()] if texts else [], sorted(set(labels)), seed)
+
+
+def train_windows(x_all: np.ndarray, labels: list[str], languages: list[str], seed: int = 7) -> ByteConvNet:
+    """Fit by Adam on the cross entropy of single windows, BATCH in a step; gradients flow through each filter's maximum."""
     rng = np.random.default_rng(seed)
-    languages = sorted(set(labels))
     of = {x: i for i, x in enumerate(languages)}
-    wins, ys = [], []
-    for t, y in zip(texts, labels):
-        w, _, _ = windows(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
-        if len(w) > TRAIN_WINDOWS:
-            w = w[rng.choice(len(w), TRAIN_WINDOWS, replace=False)]
-        wins.append(w)
-        ys += [of[y]] * len(w)
-    x_all = np.concatenate(wins) if wins else np.zeros((0, WINDOW), np.uint8)
-    y_all, k = np.array(ys, int), len(languages)
+    y_all, k = np.array([of[y] for y in labels], int), len(languages)
     f32 = np.float32
     par = {"E": rng.normal(0, 0.3, (256, DIM)).astype(f32), "U": rng.normal(0, 0.2, (len(WIDTHS) * FILTERS, k)).astype(f32), "c": np.zeros(k, f32)}
     for w in WIDTHS:
@@ -103,8 +117,8 @@ def train(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int =
         par[f"b{w}"] = np.zeros(FILTERS, f32)
     m = {n: np.zeros_like(v) for n, v in par.items()}
     v2 = {n: np.zeros_like(v) for n, v in par.items()}
-    for step in range(1, steps + 1 if len(x_all) and k > 1 else 1):
-        pick = rng.integers(0, len(x_all), BATCH)
+    for step in range(1, len(x_all) // BATCH + 1 if k > 1 else 1):
+        pick = slice((step - 1) * BATCH, step * BATCH)
         x, y = x_all[pick].astype(int), y_all[pick]
         cut = rng.integers(12, WINDOW + 1, BATCH)  # short texts are met in training, too
         cut[rng.random(BATCH) < 0.5] = WINDOW
@@ -148,17 +162,45 @@ def train(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int =
     return ByteConvNet(languages, np.ascontiguousarray(first), np.ascontiguousarray(second), np.concatenate([par[f"b{w}"] for w in WIDTHS]), par["U"], par["c"])
 
 
-def fit(docs: DataFrame, label: str = "lang", rows: int = TRAIN_ROWS, steps: int = STEPS) -> ByteConvNet:
+def chosen(docs: DataFrame, label: str, rows: int) -> list:
+    """(doc_id, h of the text, label, bytes) of the labelled documents with the lowest hashes, at most ``rows``."""
+    own = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col(label).alias("y"), F.octet_length("text").alias("size"), F.xxhash64("doc_id").alias("o"))
+    own = own.where(F.col("y").isNotNull() & (F.col("size") > 0))
+    n = own.count()
+    share = min(1.0, (2 * rows + 100) / max(n, 1))
+    while True:  # about twice the rows wanted come to the driver, whatever the input's size
+        below = own if share >= 1 else own.where(F.col("o") < F.lit(int(-(1 << 63) + share * (1 << 64))))
+        got = below.orderBy("o", "doc_id", "h", "y").limit(rows).collect()
+        if len(got) >= min(rows, n) or share >= 1:
+            return [(r["doc_id"], r["h"], r["y"], r["size"]) for r in got]
+        share = min(1.0, share * 8)
+
+
+def fit(docs: DataFrame, label: str = "lang", rows: int = TRAIN_ROWS, steps: int = STEPS, seed: int = 7) -> ByteConvNet:
     """Train on at most ``rows`` labelled documents: those whose doc_id has the lowest hash."""
-    some = (
-        docs.select("doc_id", F.col("text").alias("t"), F.col(label).alias("y"))
-        .where(F.col("t").isNotNull() & F.col("y").isNotNull() & (F.length("t") > 0))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "t", "y")
-        .limit(rows)
-        .select("t", "y")
-        .toArrow()
-    )
-    return train([t.encode() for t in some["t"].to_pylist()], some["y"].to_pylist(), steps)
+    spark = docs.sparkSession
+    some = chosen(docs, label, rows)
+    text, window = draws(np.array([r[3] for r in some], np.int64), steps, seed)
+    if not some:
+        return train_windows(np.zeros((0, WINDOW), np.uint8), [], [], seed)
+    wanted: dict[int, set[int]] = {}
+    for i, k in zip(text.tolist(), window.tolist()):
+        wanted.setdefault(i, set()).add(k)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows_of = spark.createDataFrame([(some[i][0], some[i][1], i, sorted(k)) for i, k in wanted.items()], f"of_doc {kind}, of_h long, i int, k array<int>")
+    own = docs.select("doc_id", "text")
+    both = own.join(F.broadcast(rows_of), own["doc_id"].eqNullSafe(F.col("of_doc")) & (F.xxhash64(own["text"]) == F.col("of_h")))  # at most ``rows`` of them
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t, i, ks in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                raw = t.as_buffer()
+                part = [raw[k * STRIDE : min(k * STRIDE + WINDOW, raw.size)].to_pybytes() for k in ks]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(ks), pa.int32()), pa.array(ks, pa.int32()), pa.array(part, pa.binary())], ["i", "k", "part"])
+
+    got = {(r["i"], r["k"]): bytes(r["part"]) for r in both.select("text", "i", "k").mapInArrow(cut, "i int, k int, part binary").collect()}
+    win = np.stack([np.frombuffer(got[i, k].ljust(WINDOW, b"\0"), np.uint8) for i, k in zip(text.tolist(), window.tolist())])
+    return train_windows(win, [some[i][2] for i in text.tolist()], sorted({r[2] for r in some}), seed)
 
 
 def score(net: ByteConvNet, text: pa.Array, min_confidence: float) -> tuple[pa.Array, np.ndarray, np.ndarray]:

@@ -312,6 +312,7 @@ def _examples(count: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int,
         lambda: f"{r.randint(0, 9)}.{r.randint(0, 9)}", lambda: f"{r.randint(0, 9)}.{r.randint(0, 9)}.{r.randint(0, 30)}", lambda: str(r.randint(1, 99999)), lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}",
         lambda: f"${r.randint(1, 999)}.{num(2)}", lambda: f"{r.randint(0, 23):02d}:{num(2)}", lambda: num(r.randint(6, 9)), lambda: f"{word()}{r.randint(1, 99)}", lambda: f"@{word()}", lambda: f"{r.randint(1, 99)}%", lambda: f"{r.randint(1, 12)}/{r.randint(1, 28)}/{r.randint(1990, 2030)}",
         lambda: "".join(pick("0123456789abcdef") for _ in range(7)), lambda: f"{num(1)},{num(3)},{num(3)}", lambda: f"{r.randint(1, 40)}-{r.randint(41, 90)}", lambda: f"{word()}.{num(2)}", lambda: f"{r.randint(0, 9)}.{r.randint(0, 9)}.{r.randint(0, 9)}.{r.randint(0, 9)}.{r.randint(0, 9)}", lambda: " ".join(num(r.randint(1, 3)) for _ in range(r.randint(2, 5))),
+        lambda: " ".join(num(r.randint(1, 6)) for _ in range(r.randint(3, 14))), lambda: " ".join(f"{num(r.randint(1, 3))}.{num(r.randint(1, 2))}" for _ in range(r.randint(2, 8))),
     )
     for _ in range(count):
         text, spans = "", []

@@ -56,12 +56,32 @@ def test_against_all_pairs(spark, seed):
     assert got == sorted(brute(rows, 6))
 
 
-def test_variants_in_ranges(monkeypatch):
-    text = ["aaaaab", "aaaaac", "aaaaabb", "xaaaaab", "zzzzzz"]
+def test_variants_meet_within_one_edit():
+    """Lines share a key as the kinds have it exactly if one edit makes them equal."""
+    text = ["aaaaab", "aaaaac", "aaaaabb", "xaaaaab", "zzzzzz", "baaaac", "aaaabb"]
     arrays = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in text]
-    whole = linededup.witnesses(np.zeros(5, int), arrays).tolist()
-    monkeypatch.setattr(linededup, "VARIANTS", 1)
-    assert linededup.witnesses(np.zeros(5, int), arrays).tolist() == whole == [-1, 0, 0, 0, -1]
+    key, line, kind = linededup.variants(arrays, np.full(len(text), 31))
+    by = {}
+    for k, i, what in zip(key.tolist(), line.tolist(), kind.tolist()):
+        by.setdefault((k, what), set()).add(i)
+    met = {(i, j) for (k, what), own in by.items() for i in own for j in (own if what == 0 else by.get((k, 3 - what), ())) if i != j}
+    assert met == {(i, j) for i, x in enumerate(text) for j, y in enumerate(text) if i != j and within(x, y) == 1}
+
+
+def test_one_id_with_two_texts(spark):
+    """The lines of each text are judged and dropped on their own."""
+    rows = [(0, "a line that is repeated\nalone here"), (1, "a line that is repeated\nonly in the first text"), (1, "a wholly unique first line\nonly in the second text\na line that is repeated")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = linededup.repeated_lines(docs, with_h=True)
+    left = sorted(r["text"] for r in linededup.drop_lines(docs, found).collect())
+    assert left == sorted([rows[0][1], "only in the first text", "a wholly unique first line\nonly in the second text"])
+
+
+def test_half_that_many_share(spark):
+    """Thousands of lines with one half in common: no group of them is made."""
+    rows = [(i, f"the very same beginning of all lines {i:05d}{i * 7919 % 100_000:05d}") for i in range(4000)] + [(4000, "the very same beginning of all lines 00000000x0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [tuple(r) for r in linededup.repeated_lines(docs).collect()] == sorted(brute([rows[0], rows[-1]], 6))
 
 
 def test_drop_and_edge_cases(spark):

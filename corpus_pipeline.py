@@ -20,7 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out lines that repeat an earlier line; a document without any other line goes."""
-    return linededup.drop_lines(docs, linededup.repeated_lines(docs))
+    return linededup.drop_lines(docs, linededup.repeated_lines(docs, with_h=True))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import korean, stats
+from . import korean, predicates, stats
 
-MODULES = (stats, korean)
+MODULES = (stats, korean, predicates)
 
 
 def queries() -> dict:

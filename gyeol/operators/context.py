@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import split_words
+from ..session import cut
 from .vectorizer import _dense_index
 
 #: Vectors of a block; every block meets every other.
@@ -57,6 +58,7 @@ def pmi(matrix: DataFrame, min_pmi: float = 0.0, alpha: float = 0.0, beta: float
     """
     if not 0 < beta <= 1:
         raise ValueError("beta must be in (0, 1]")
+    matrix = cut(matrix)  # read four times
     total = matrix.agg(F.sum("weight").alias("total"))
     px = matrix.groupBy("word").agg(F.sum("weight").alias("x"))
     if py is None:
@@ -72,18 +74,62 @@ def pmi(matrix: DataFrame, min_pmi: float = 0.0, alpha: float = 0.0, beta: float
     return out.where((F.col("e") > bound) if strict else (F.col("e") >= bound)).select("word", "context", F.log("e").alias("pmi"))
 
 
-def svd(coordinates: DataFrame, k: int) -> tuple[list[float], DataFrame]:
-    """Singular values and (i, vector): the k leading left singular vectors scaled by nothing."""
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
+def svd(coordinates: DataFrame, k: int, more: int = 12, most: int = 60, tolerance: float = 1e-9) -> tuple[list[float], DataFrame]:
+    """Singular values and (i, vector): the k leading left singular vectors scaled by nothing.
 
+    Subspace iteration with k + more vectors: each round is one pass over the rows, and the driver and the tasks hold the
+    vectors, as long as the matrix has columns.  It stops when the k values don't change any more.
+    """
     width = coordinates.agg(F.max("j")).first()[0]
     if width is None or k >= width + 1:
         raise ValueError("k must be smaller than the number of columns")
-    entries = coordinates.rdd.map(lambda r: MatrixEntry(r[0], r[1], float(r[2])))
-    rows = CoordinateMatrix(entries).toIndexedRowMatrix()
-    d = rows.computeSVD(k, computeU=True)
-    u = d.U.rows.map(lambda r: (r.index, [float(x) for x in r.vector.toArray()]))
-    return [float(x) for x in d.s], coordinates.sparkSession.createDataFrame(u, "i long, vector array<double>")
+    width += 1
+    rows = cut(coordinates.groupBy("i").agg(F.collect_list("j").alias("j"), F.collect_list(F.col("weight").cast("double")).alias("w")))
+    q, _ = np.linalg.qr(np.random.default_rng(7).normal(size=(width, min(k + more, width))))
+
+    def product(b: pa.RecordBatch, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, column and weight of each entry; the rows times q)."""
+        size = np.diff(b.column(1).offsets.to_numpy())
+        of, j, w = np.repeat(np.arange(b.num_rows), size), b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
+        out = np.zeros((b.num_rows, q.shape[1]))
+        np.add.at(out, of, q[j] * w[:, None])
+        return of, j, w, out
+
+    def once(q: np.ndarray) -> np.ndarray:
+        def run(batches):  # noqa: ANN001, ANN202
+            for b in batches:
+                of, j, w, out = product(b, q)
+                columns, at = np.unique(j, return_inverse=True)
+                part = np.zeros((len(columns), q.shape[1]))
+                np.add.at(part, at, out[of] * w[:, None])
+                flat = np.repeat(columns, q.shape[1]), np.tile(np.arange(q.shape[1]), len(columns)), part.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["j", "c", "v"])
+
+        got = rows.mapInArrow(run, "j long, c long, v double").groupBy("j", "c").agg(F.sum("v").alias("v")).toArrow()
+        y = np.zeros((width, q.shape[1]))
+        y[got["j"].to_numpy(), got["c"].to_numpy()] = got["v"].to_numpy()
+        return y
+
+    seen = None
+    for _ in range(most):
+        y = once(q)
+        value, turn = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
+        value, turn = value[::-1], turn[:, ::-1]
+        sigma = np.sqrt(np.maximum(value, 0.0))
+        if seen is not None and np.all(np.abs(sigma[:k] - seen) <= tolerance * max(sigma[0], 1e-300)):
+            break
+        seen = sigma[:k]
+        right = (q @ turn)[:, :k]
+        q, _ = np.linalg.qr(y)
+    right = np.divide(right, sigma[:k], out=np.zeros_like(right), where=sigma[:k] > 0)
+
+    def vectors(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            out = product(b, right)[3]
+            off = pa.array(np.arange(0, out.size + 1, k, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(off, pa.array(out.ravel()))], ["i", "vector"])
+
+    return [float(x) for x in sigma[:k]], rows.mapInArrow(vectors, "i long, vector array<double>")
 
 
 def most_similar(items: DataFrame, query: object, key: str, vector: str, topk: int = 10) -> DataFrame:
@@ -96,16 +142,17 @@ def most_similar(items: DataFrame, query: object, key: str, vector: str, topk: i
     return out.orderBy(F.desc("similarity"), key).limit(topk) if topk > 0 else out
 
 
-def all_similar(items: DataFrame, key: str, vector: str, topk: int = 10, block: int = BLOCK) -> DataFrame:
-    """query, key, similarity: for every item, the topk others with the highest cosine, ties by key.
+def all_similar(items: DataFrame, key: str, vector: str, topk: int = 10, block: int = BLOCK, queries: Column | None = None) -> DataFrame:
+    """query, key, similarity: for every item (or those of the condition ``queries``), the topk others with the highest cosine, ties by key.
 
     Exact products of all pairs of blocks; keys are taken as unique, rows without key or vector take no part.
     """
     kind = items.schema[key].dataType.simpleString()
-    rows = items.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    wanted = F.lit(True) if queries is None else queries
+    rows = items.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), wanted.alias("wanted")).where("id is not null and v is not null")
     parts = max(1, -(-rows.count() // block))
     part, every = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    asks = rows.select("id", "v", part.alias("a"), every.alias("b"), F.lit(True).alias("asks"))
+    asks = rows.where("wanted").select("id", "v", part.alias("a"), every.alias("b"), F.lit(True).alias("asks"))
     held = rows.select("id", "v", every.alias("a"), part.alias("b"), F.lit(False).alias("asks"))
 
     def compare(t: pa.Table) -> pa.Table:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -121,3 +121,18 @@ def hits(graph: DataFrame, damping: float = 0.9, iterations: int = 10, tolerance
             break
     r = g.join(ranks, "l").groupBy("r").agg((F.sum(F.col("to_r") * F.col("rank")) * damping + (1 - damping)).alias("rank"))
     return ranks.select(F.lit("L").alias("side"), F.col("l").alias("word"), "rank").union(r.select(F.lit("R"), "r", "rank"))
+
+
+def write_graph_text(graph: DataFrame, path: str) -> None:
+    """path/lrgraph and path/rlgraph: for each key a line '> key (sum)' and its partners '  - key: count', by descending count."""
+    for name, key, other in (("lrgraph", "l", "r"), ("rlgraph", "r", "l")):
+        g = (graph if name == "lrgraph" else graph.where("r <> ''")).groupBy(key).agg(F.sum("count").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), F.col(other).alias("w")))).alias("x"))
+        lines = F.concat_ws("\n", F.concat(F.lit("> "), key, F.lit(" ("), F.col("n").cast("string"), F.lit(")")), F.transform("x", lambda p: F.concat(F.lit("  - "), p["w"], F.lit(": "), (-p["c"]).cast("string"))))
+        g.select(lines.alias("value")).write.mode("overwrite").text(f"{path}/{name}")
+
+
+def read_graph_text(spark: SparkSession, path: str) -> DataFrame:
+    """l, r, count from what ``write_graph_text`` wrote; a key and its partners are one record."""
+    blocks = spark.read.option("lineSep", "\n> ").text(f"{path}/lrgraph").select(F.split(F.regexp_replace("value", r"^> |\n+$", ""), "\n").alias("x"))
+    rows = blocks.select(F.regexp_extract(F.col("x")[0], r"^(.*) \(\d+\)$", 1).alias("l"), F.explode(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(0)))).alias("line"))
+    return rows.select("l", F.regexp_extract("line", r"^  - (.*): \d+$", 1).alias("r"), F.regexp_extract("line", r"(\d+)$", 1).cast("long").alias("count"))

@@ -273,10 +273,12 @@ def longest_noun_counts(graph: DataFrame, nouns: DataFrame) -> DataFrame:
     return nouns.join(per, "noun", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0)))
 
 
-def extract_weighted(counts: DataFrame, weights: DataFrame, min_noun_score: float = 0.5, min_frequency: int = 5, l_max: int = 10, r_max: int = 7) -> DataFrame:
-    """noun, frequency, score, known_r_ratio."""
+def extract_weighted(counts: DataFrame, weights: DataFrame, min_noun_score: float = 0.5, min_frequency: int = 5, l_max: int = 10, r_max: int = 7, candidates: DataFrame | None = None) -> DataFrame:
+    """noun, frequency, score, known_r_ratio; candidates (word) may name the words to look at."""
     graph = cut(weighted_graph(counts, l_max, r_max, min_frequency))
     nouns = weighted_score(graph, weights).where((F.length("l") > 1) & (F.col("score") >= min_noun_score)).select(F.col("l").alias("noun"), "score", "known")
+    if candidates is not None:
+        nouns = nouns.join(candidates.select(F.col("word").alias("noun")).distinct(), "noun", "left_semi")
     size = graph.groupBy("l").agg(F.max("l_n").alias("n"))
     head, shorter = size.select(F.col("l").alias("head"), F.col("n").alias("head_n")), size.select(F.col("l").alias("sub"), F.col("n").alias("sub_n"))
     n = F.length("noun")
@@ -289,3 +291,7 @@ def extract_weighted(counts: DataFrame, weights: DataFrame, min_noun_score: floa
     return longest_noun_counts(graph, kept).select("noun", "frequency", "score", F.col("known").alias("known_r_ratio"))
 
 
+def is_noun(words: DataFrame, extracted: DataFrame, min_noun_score: float = 0.5) -> DataFrame:
+    """word, is_noun: whether the extraction gave it such a score."""
+    good = extracted.where(F.col("score") >= min_noun_score).select(F.col("noun").alias("word"), F.lit(True).alias("found")).distinct()
+    return words.select("word").distinct().join(good, "word", "left").select("word", F.coalesce("found", F.lit(False)).alias("is_noun"))

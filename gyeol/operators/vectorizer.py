@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import split_words
+from ..session import cut
 
 
 def _dense_index(terms: DataFrame, by: str) -> DataFrame:
@@ -15,6 +16,7 @@ def _dense_index(terms: DataFrame, by: str) -> DataFrame:
     partitions before it.
     """
     placed = terms.repartitionByRange(F.desc(by), F.col("term")).sortWithinPartitions(F.desc(by), "term").withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
+    placed = cut(placed)  # read twice, and ranges that are drawn twice may differ
     first = placed.groupBy("part").agg(F.min("place").alias("first"), F.count("*").alias("size"))
     base = first.withColumn("base", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return placed.join(F.broadcast(base.select("part", "first", "base")), "part").select((F.col("place") - F.col("first") + F.col("base")).alias("idx"), *terms.columns)

@@ -38,7 +38,7 @@ def _r(c: str, places: int = 6):  # noqa: ANN202
 
 SENT = r"""sent AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS sent_id, trim(p[i]) AS sent FROM (SELECT doc_id, string_split(text, chr(10)) AS p, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE trim(p[i]) <> '')"""
 TOKS = SENT + r""", toks AS (SELECT doc_id, sent_id, list_filter(regexp_split_to_array(sent, '\s+'), lambda x: x <> '') AS t FROM sent)"""
-TC = TOKS + ", tc AS (SELECT tok, count(*) AS n FROM (SELECT unnest(t) AS tok FROM toks) GROUP BY tok)"
+TC = TOKS + ", tc AS MATERIALIZED (SELECT tok, count(*) AS n FROM (SELECT unnest(t) AS tok FROM toks) GROUP BY tok)"
 SUB = TC + """, lc AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT left(tok, i) AS word, n FROM (SELECT tok, n, unnest(range(1, least(11, length(tok)) + 1)) AS i FROM tc WHERE length(tok) >= 2)) GROUP BY word HAVING sum(n) >= 5),
 rc AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT right(tok, i) AS word, n FROM (SELECT tok, n, unnest(range(1, least(6, length(tok) - 1) + 1)) AS i FROM tc WHERE length(tok) >= 2)) GROUP BY word HAVING sum(n) >= 5)"""
 EXT = SUB + """, nb AS (SELECT tok, nxt, prv, count(*) AS n FROM (SELECT t[i] AS tok, left(t[i % len(t) + 1], 1) AS nxt, right(t[(i + len(t) - 2) % len(t) + 1], 1) AS prv FROM (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM toks WHERE len(t) >= 2)) GROUP BY ALL),
@@ -75,7 +75,7 @@ def a04_eojeol_lines(spark, sf_dir):  # noqa: ANN001, ANN201
     return lrgraph.eojeol_counts(_sents(spark, sf_dir)).select(F.concat_ws(" ", "eojeol", "count").alias("value"))
 
 
-LR = TC + """, eo AS (SELECT tok AS eojeol, n AS count FROM tc WHERE length(tok) <= 15), lr AS (SELECT left(eojeol, i) AS l, substr(eojeol, i + 1) AS r, count FROM (SELECT *, unnest(range(greatest(1, length(eojeol) - 9), least(10, length(eojeol)) + 1)) AS i FROM eo))"""
+LR = TC + """, eo AS (SELECT tok AS eojeol, n AS count FROM tc WHERE length(tok) <= 15), lr AS MATERIALIZED (SELECT left(eojeol, i) AS l, substr(eojeol, i + 1) AS r, count FROM (SELECT *, unnest(range(greatest(1, length(eojeol) - 9), least(10, length(eojeol)) + 1)) AS i FROM eo))"""
 
 
 def _eo(spark, sf_dir):  # noqa: ANN001, ANN202
@@ -199,7 +199,7 @@ def d04_lrgraph(spark, sf_dir):  # noqa: ANN001, ANN201
     return _lr(spark, sf_dir)
 
 
-@query(f"WITH {TC}, lr AS (SELECT left(tok, i) AS l, substr(tok, i + 1) AS r, n AS count FROM (SELECT *, unnest(range(greatest(1, length(tok) - 6), least(10, length(tok)) + 1)) AS i FROM tc)) SELECT * FROM lr")
+@query(f"WITH {TC}, lr AS MATERIALIZED (SELECT left(tok, i) AS l, substr(tok, i + 1) AS r, n AS count FROM (SELECT *, unnest(range(greatest(1, length(tok) - 6), least(10, length(tok)) + 1)) AS i FROM tc)) SELECT * FROM lr")
 def d05_lrgraph_of_sentences(spark, sf_dir):  # noqa: ANN001, ANN201
     return lrgraph.lr_graph(lrgraph.eojeol_counts(_sents(spark, sf_dir), max_length=1 << 30), 10, 6)
 
@@ -236,14 +236,25 @@ def d11_to_eojeol_counts(spark, sf_dir):  # noqa: ANN001, ANN201
     return lrgraph.to_counts(_lr(spark, sf_dir))
 
 
-@query(f"WITH {TC}, lr AS (SELECT left(tok, i) AS l, substr(tok, i + 1) AS r, n AS count FROM (SELECT *, unnest(range(greatest(1, length(tok) - 6), least(10, length(tok)) + 1)) AS i FROM tc WHERE length(tok) <= 16)) SELECT l, r, count FROM lr WHERE l IN (SELECT l FROM lr GROUP BY l HAVING sum(count) >= 10) AND (r = '' OR r IN (SELECT r FROM lr WHERE r <> '' GROUP BY r HAVING sum(count) >= 10))")
+@query(f"WITH {TC}, lr AS MATERIALIZED (SELECT left(tok, i) AS l, substr(tok, i + 1) AS r, n AS count FROM (SELECT *, unnest(range(greatest(1, length(tok) - 6), least(10, length(tok)) + 1)) AS i FROM tc WHERE length(tok) <= 16)), lk AS MATERIALIZED (SELECT l FROM lr GROUP BY l HAVING sum(count) >= 10), rk AS MATERIALIZED (SELECT r FROM lr WHERE r <> '' GROUP BY r HAVING sum(count) >= 10 UNION ALL SELECT '') SELECT l, r, count FROM lr SEMI JOIN lk USING (l) SEMI JOIN rk USING (r)")
 def d12_filtered_graph(spark, sf_dir):  # noqa: ANN001, ANN201
     return lrgraph.filtered_graph(lrgraph.eojeol_counts(_sents(spark, sf_dir), max_length=16))
 
 
-@query()
+def _hits_sql(rounds: int = 10) -> str:
+    parts = [LR, "lk AS MATERIALIZED (SELECT l FROM lr WHERE length(r) <= 6 GROUP BY l HAVING sum(count) >= 10)", "rk AS MATERIALIZED (SELECT r FROM lr WHERE r <> '' AND length(r) <= 6 GROUP BY r HAVING sum(count) >= 10)"]
+    parts += ["g AS MATERIALIZED (SELECT l, r, count / CAST(sum(count) OVER (PARTITION BY l) AS DOUBLE) AS to_r, count / CAST(sum(count) OVER (PARTITION BY r) AS DOUBLE) AS to_l FROM lr SEMI JOIN lk USING (l) SEMI JOIN rk USING (r) WHERE length(r) <= 6)", "l0 AS MATERIALIZED (SELECT DISTINCT l, CAST(1 AS DOUBLE) AS rank FROM g)"]
+    for k in range(rounds + 1):
+        parts.append(f"r{k} AS MATERIALIZED (SELECT r, sum(to_r * rank) * 0.9 + 0.1 AS rank FROM g JOIN l{k} USING (l) GROUP BY r)")
+        if k < rounds:
+            parts.append(f"l{k + 1} AS MATERIALIZED (SELECT l, sum(to_l * rank) * 0.9 + 0.1 AS rank FROM g JOIN r{k} USING (r) GROUP BY l)")
+    return f"WITH {', '.join(parts)} SELECT 'L' AS side, l AS word, round(rank, 6) + 0.0 AS rank FROM l{rounds} UNION ALL SELECT 'R', r, round(rank, 6) + 0.0 FROM r{rounds}"
+
+
+@query(_hits_sql())
 def d13_hits(spark, sf_dir):  # noqa: ANN001, ANN201
-    return lrgraph.hits(lrgraph.filtered_graph(_eo(spark, sf_dir))).select("side", "word", _r("rank"))
+    """Ten rounds, whether or not ranks still move."""
+    return lrgraph.hits(lrgraph.filtered_graph(_eo(spark, sf_dir)), tolerance=0.0).select("side", "word", _r("rank"))
 
 
 @query(f"WITH {LR} SELECT l, r, count, CAST(sum(count) OVER (PARTITION BY l) AS BIGINT) AS l_count, round(count / CAST(sum(count) OVER (PARTITION BY l) AS DOUBLE), 6) + 0.0 AS p FROM lr")
@@ -251,7 +262,7 @@ def d14_conditional(spark, sf_dir):  # noqa: ANN001, ANN201
     return lrgraph.conditional(_lr(spark, sf_dir)).select("l", "r", "count", "l_count", _r("p"))
 
 
-@query(f"WITH {LR}, lk AS (SELECT l, CAST(sum(count) AS BIGINT) AS n FROM lr GROUP BY l) SELECT a.l, a.n AS l_count, round(CASE WHEN length(a.l) > 1 AND h.n IS NOT NULL THEN pow(a.n / CAST(h.n AS DOUBLE), 1.0 / (length(a.l) - 1)) ELSE 0 END, 6) + 0.0 AS cohesion_l, round(CASE WHEN length(a.l) > 1 AND s.n IS NOT NULL THEN a.n / CAST(s.n AS DOUBLE) ELSE 0 END, 6) + 0.0 AS droprate_l FROM lk a LEFT JOIN lk h ON h.l = left(a.l, 1) LEFT JOIN lk s ON s.l = left(a.l, length(a.l) - 1)")
+@query(f"WITH {LR}, lk AS MATERIALIZED (SELECT l, CAST(sum(count) AS BIGINT) AS n FROM lr GROUP BY l) SELECT a.l, a.n AS l_count, round(CASE WHEN length(a.l) > 1 AND h.n IS NOT NULL THEN pow(a.n / CAST(h.n AS DOUBLE), 1.0 / (length(a.l) - 1)) ELSE 0 END, 6) + 0.0 AS cohesion_l, round(CASE WHEN length(a.l) > 1 AND s.n IS NOT NULL THEN a.n / CAST(s.n AS DOUBLE) ELSE 0 END, 6) + 0.0 AS droprate_l FROM lk a LEFT JOIN lk h ON h.l = left(a.l, 1) LEFT JOIN lk s ON s.l = left(a.l, length(a.l) - 1)")
 def d14_l_statistics(spark, sf_dir):  # noqa: ANN001, ANN201
     return lrgraph.l_statistics(_lr(spark, sf_dir)).select("l", "l_count", _r("cohesion_l"), _r("droprate_l"))
 
@@ -414,7 +425,8 @@ def g07_svd(spark, sf_dir):  # noqa: ANN001, ANN201
     return spark.createDataFrame([(k, round(x, 3)) for k, x in enumerate(values)], "k int, value double")
 
 
-@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: CAST(embedding[i] AS DOUBLE) * q.e[i])) / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(q.e, lambda x: CAST(x AS DOUBLE) * x)))), 4) + 0.0 AS similarity FROM embeddings, q WHERE vec_id <> 0""")
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT a.vec_id AS query, b.vec_id, round(list_cosine_similarity(a.e, b.e), 12) AS s FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query, vec_id, round(s, 4) + 0.0 AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS k FROM p) WHERE k <= 10""")
 def g08_most_similar(spark, sf_dir):  # noqa: ANN001, ANN201
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return context.all_similar(e, "vec_id", "embedding").select("query", "vec_id", _r("similarity", 4))
+    return context.all_similar(e, "vec_id", "embedding", queries=F.col("vec_id") % 20 == 0).select("query", "vec_id", _r("similarity", 4))

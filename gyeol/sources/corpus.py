@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import split_words, strip
@@ -18,14 +18,25 @@ def sentences(docs: DataFrame, separator: str = "\n") -> DataFrame:
     return parts.withColumn("sent", strip(F.col("sent"))).where("sent <> ''")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 0 within the file), value: lines are read in parallel, a file isn't one row.
+
+    Each split's first number comes from the sizes of the splits before it in its file.
+    """
+    lines = spark.read.text(path).withColumn("file", F.input_file_name()).withColumn("block", F.input_file_block_start()).withColumn("place", F.monotonically_increasing_id())
+    size = lines.groupBy("file", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    base = size.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("base"))
+    return lines.join(base, ["file", "block"]).select("file", (F.col("place") - F.col("first") + F.col("base")).alias("line"), "value")
+
+
 def read_doublespace(spark: SparkSession, path: str, iter_sent: bool = False, skip_header: int = 0, num_doc: int = -1, num_sent: int = -1) -> DataFrame:
     """A line is a document, two spaces end a sentence.
 
     Documents: doc_id, text.  Sentences: doc_id, sent_id, sent without blank ones.  Lines
     are numbered within the file, so the header and the caps follow file order.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("doc_id", "text"))
-    lines = lines.where(F.col("doc_id") >= skip_header).withColumn("text", strip(F.col("text")))
+    lines = numbered_lines(spark, path).where(F.col("line") >= skip_header).select(F.col("line").alias("doc_id"), strip(F.col("value")).alias("text"))
     if not iter_sent:
         return lines.orderBy("doc_id").limit(num_doc) if num_doc > 0 else lines
     sents = sentences(lines, "  ")

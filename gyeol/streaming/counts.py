@@ -24,9 +24,19 @@ def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def write_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each trigger replaces the table at path; state lives at checkpoint, which executors must share."""
+    """Each trigger writes a version of the table at path, so a failed one leaves the version before it; state lives at checkpoint, which executors must share."""
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
 
-    return counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(replace).start()
+    return counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start()
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version that was written whole (Parquet marks it when it ends)."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
+    if not found:
+        raise ValueError(f"no version at {path}")
+    newest = max(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+    return spark.read.parquet(f"{path}/version={newest}")

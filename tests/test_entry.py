@@ -29,7 +29,7 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
         spark.createDataFrame(rows[k : k + 2], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     stream = counts.stream_documents(spark, str(tmp_path / "in/*"), files_per_trigger=1)
     counts.write_counts(counts.token_counts(stream), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
-    got = {r["tok"]: r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    got = {r["tok"]: r["n"] for r in counts.read_counts(spark, str(tmp_path / "out")).collect()}
     assert got == {"a": 3, "b": 2, "c": 1}
 
 

@@ -42,6 +42,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, of rows that have a doc_id and a text."""
     return docs.select("doc_id", *columns).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())

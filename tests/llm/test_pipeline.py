@@ -53,3 +53,37 @@ def test_stages(spark, tmp_path):
     assert {x["source"] for x in blocks} <= {"p", "q"} and len(blocks) >= want // mixing.BLOCK
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(str, again)) == sorted(map(str, blocks))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_empty_tables(spark, tmp_path):
+    for name, rows, items in (("none", [], [(1, ITEM)]), ("no-items", corpus(), [])):
+        d = tmp_path / name
+        spark.createDataFrame(rows, SCHEMA).write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
+        assert corpus_pipeline.run(spark, str(d)).isEmpty() == (not rows)
+
+
+def test_repeated_ids_and_clashing_columns(spark, tmp_path):
+    """One id with two texts: each text is judged on its own, in every stage; equal rows count once."""
+    r = random.Random(9)
+    text = lambda lang, n=60: " ".join(r.choice(SAMPLES[lang]) for _ in range(n))
+    rows = [(i, text(lang), lang, "p") for i, lang in enumerate(["en", "de", "fr"] * 20)]
+    one, two, item = text("en"), text("en"), f"{text('en', 20)} {ITEM} {text('en', 20)}"
+    rows += [(70, one, "en", "p"), (71, one, "en", "p"), (71, two, "en", "p"), (72, item, "en", "p"), (72, two + " indeed so", "en", "p"), (73, text("de"), "de", None), (73, None, "de", "q")]
+    rows.append(rows[3])
+    full = [(*x, len(x[1] or ""), "h", 5) for x in rows]
+    docs = spark.createDataFrame(full, SCHEMA + ", h string, gone_doc int")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / f"s{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"s{k}"))
+    left = [(x["doc_id"], x["text"]) for x in docs.collect()]
+    assert (70, one) in left and (71, one) not in left and sum(t == rows[3][1] for _, t in left) == 1
+    assert sum(d in (71, 72) and t in (two, two + " indeed so") for d, t in left) == 1  # near copies of each other
+    assert [t for d, t in left if d == 72 and "planet" not in t and t.startswith(item[:30])] and len(left) >= 62
+    assert set(x["gone_doc"] for x in docs.collect()) == {5}

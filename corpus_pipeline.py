@@ -1,6 +1,14 @@
 """A corpus pipeline of five operators: each stage's result is written as Parquet and read again by the next.
 
 Every function takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.
+
+Defined cases, for every stage: a row is known by its doc_id and text, so of rows that share an id each text is judged on
+its own, and rows equal in both count as one document (near_dedup keeps one of them).  Null and empty texts, and texts
+without a letter, have no language and go in the first stage; rows without doc_id, if their language is known, take no
+part in dedup and stay.  Null sources are a source of their own.  Texts of any length are read whole.  Ties go to the
+lowest doc_id, then the hash of the text.  An empty ``documents`` gives no rows, an empty ``benchmark`` takes nothing
+out.  Further columns stay as they are, whatever they are called; n_chars follows the text.  What stages write goes once
+the next one has read it.
 """
 
 from __future__ import annotations
@@ -10,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gyeol.llm import decontam, langid, linededup, minhash, mixing
-from gyeol.llm.common import shared_dir, table
+from gyeol.llm.common import remove, shared_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,4 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{k}")
         docs = spark.read.parquet(f"{out}/{k}")
+        if k:
+            remove(spark, f"{out}/{k - 1}")
     return docs

@@ -10,6 +10,11 @@ segments of an anchor go to one shard.  A match that long contains an anchor who
 segment holds at least MIN_TOKENS of it around the anchor, so the union of what the
 segments report is the union of all such matches: nothing is lost.
 
+Segments of an anchor that are equal, and equally placed around it, are a class.  All
+that a class of two documents has is covered at once, and so is (for operator 8) all but
+its first segment; only one segment of each class goes to a shard, and only if its
+anchor has other classes.  So a shard doesn't grow with the number of copies.
+
 * Operator 6 builds a compressed FM-index of each shard (Burrows-Wheeler transform in
   a wavelet matrix) and streams the shard's segments through it by backward search; a
   token is reported if a match with another document covers it (all copies are).
@@ -18,6 +23,10 @@ segments report is the union of all such matches: nothing is lost.
   smaller positions in suffix order; a token is reported if an earlier copy covers it,
   so the first copy stays.  Earlier copies may lie in the same document.
 
+An anchor with more than ``HOT`` classes gets no shard: its segments are cut into all
+windows of MIN_TOKENS tokens, whose hashes are aggregated.  That gives the same, since an
+interval is the union of such windows, and no group is held in a task.
+
 Results are half-open intervals of token numbers.
 
 Defined cases: rows without doc_id or text, and texts of fewer than MIN_TOKENS tokens,
@@ -38,20 +47,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import keyed, written
 from .decontam import cut_spans, token_hashes, with_text
 from .suffix import FMIndex, SuffixArray, nearest_smaller_lcp
-from .textcore import chunks, ngrams, spans, window_min
+from .textcore import _powers, chunks, mix, ngrams, spans, window_min
 
 MIN_TOKENS, GRAM = 50, 12
-#: Tokens of whole anchor groups that one index holds at least.
-SHARD_TOKENS = 250_000
+#: Tokens of whole anchor groups that one index holds at least, and classes of an anchor that an index may hold.
+SHARD_TOKENS, HOT = 250_000, 10_000
 
 
-def anchors(data: np.ndarray, off: np.ndarray, min_tokens: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, token number in the row, row) of the winnowed k-grams."""
-    h, _, _, row = token_hashes(data, off)
-    n = np.bincount(row, minlength=len(off) - 1)
+def anchors(h: np.ndarray, row: np.ndarray, rows: int, min_tokens: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, token number in the row, row) of the winnowed k-grams of hashed tokens."""
+    n = np.bincount(row, minlength=rows)
     first = np.cumsum(n) - n
     w = min_tokens - k + 1
     g, at = ngrams(h, row, k)
@@ -75,32 +83,65 @@ def _rows(docs: DataFrame) -> DataFrame:
     return keyed(docs, "text").withColumn("h", F.xxhash64("text"))
 
 
+def _token_hasher(h: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Hashes of runs of tokens, from prefix sums."""
+    power, inverse = _powers(len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(h * power[:-1], out=sums[1:])
+
+        def of(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+            with np.errstate(over="ignore"):
+                return mix((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
+
+        return of
+
+
 def anchor_table(docs: DataFrame, min_tokens: int, k: int) -> DataFrame:
-    """doc (doc_id and hash of the text), pos and anchor."""
+    """doc_id, h (of the text), start, size, anchor and content (a hash) of the segment around each anchor."""
     docs = _rows(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, _, data, off in chunks(b.column(1)):
-                g, pos, row = anchors(data, off, min_tokens, k)
+            for a, c, data, off in chunks(b.column(1)):
+                h, _, _, of = token_hashes(data, off)
+                n = np.bincount(of, minlength=c - a)
+                first = np.cumsum(n) - n
+                g, pos, row = anchors(h, of, len(off) - 1, min_tokens, k)
+                lo, hi = np.maximum(pos - min_tokens, 0), np.minimum(pos + k + min_tokens, n[row])
+                content = mix(_token_hasher(h)(first[row] + lo, first[row] + hi) + (pos - lo).astype(np.uint64))
                 at = pa.array(a + row)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(pos.astype(np.int32)), pa.array(g.view(np.int64))], ["doc_id", "h", "pos", "anchor"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(at), b.column(2).take(at), pa.array(lo.astype(np.int32)), pa.array((hi - lo).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(content.view(np.int64))],
+                    ["doc_id", "h", "start", "size", "anchor", "content"],
+                )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, h long, pos int, anchor long")
+    return docs.mapInArrow(run, f"doc_id {kind}, h long, start int, size int, anchor long, content long")
 
 
-def segments(docs: DataFrame, across: bool, min_tokens: int, k: int) -> DataFrame:
-    """anchor, doc_id, h, start, tokens (32-bit hashes): what surrounds each repeated anchor.
+def repeated_anchors(docs: DataFrame, min_tokens: int, k: int) -> DataFrame:
+    """The anchor table without anchors that occur once; rows that repeat a document count once."""
+    found = written(anchor_table(docs, min_tokens, k))
+    place = F.struct("doc_id", "h", "start")
+    again = found.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a < z").select("anchor")
+    return written(found.join(again, "anchor", "left_semi").distinct())
 
-    across: only anchors that two documents have.
-    """
-    w = Window.partitionBy("anchor")
-    found = anchor_table(docs, min_tokens, k)
+
+def classes(found: DataFrame) -> DataFrame:
+    """anchor, content, size, first (doc_id, h, start), several (documents), copies, kinds (classes of the anchor)."""
     own = F.struct("doc_id", "h")
-    again = F.min(own).over(w) < F.max(own).over(w) if across else F.count("*").over(w) > 1
-    shared = found.withColumn("again", again).where("again").groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "anchor")).alias("anchors"))
-    texts = _rows(docs).join(shared, ["doc_id", "h"]).select("doc_id", "anchors", "text", "h")
+    c = found.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "h", "start")).alias("first"), F.min(own).alias("low"), F.max(own).alias("high"), F.min("size").alias("size"), F.count("*").alias("copies"))
+    c = c.select("anchor", "content", "size", "first", (F.col("low") < F.col("high")).alias("several"), "copies")
+    kinds = c.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    return written(c.join(kinds, "anchor"))
+
+
+def segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """anchor, content, several, doc_id, h, start, tokens (32-bit hashes) of the first segment of each wanted class."""
+    flat = wanted.select("anchor", "content", "several", "size", "first.*")
+    by_doc = flat.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "content", "several", "start", "size")).alias("parts"))
+    texts = _rows(docs).join(by_doc, ["doc_id", "h"]).select("doc_id", "parts", "text", "h").dropDuplicates(["doc_id", "h"])
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +149,7 @@ def segments(docs: DataFrame, across: bool, min_tokens: int, k: int) -> DataFram
             lists = b.column(1)
             ends = lists.offsets.to_numpy().astype(np.int64)
             flat = lists.values
-            pos, anchor = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy()
+            start, long = flat.field(3).to_numpy().astype(np.int64), flat.field(4).to_numpy().astype(np.int64)
             for a, c, data, off in chunks(b.column(2)):
                 h, _, _, row = token_hashes(data, off)
                 h = (h >> np.uint64(32)).astype(np.uint32)
@@ -116,31 +157,30 @@ def segments(docs: DataFrame, across: bool, min_tokens: int, k: int) -> DataFram
                 first = np.cumsum(n) - n
                 i = np.arange(ends[a], ends[c])
                 own = np.repeat(np.arange(c - a), np.diff(ends[a : c + 1]))
-                lo = np.maximum(pos[i] - min_tokens, 0)
-                hi = np.minimum(pos[i] + k + min_tokens, n[own])
-                size = hi - lo
+                size = long[i]
                 to = np.concatenate([[0], np.cumsum(size)])
-                take = np.repeat(first[own] + lo - to[:-1], size) + np.arange(to[-1])
+                take = np.repeat(first[own] + start[i] - to[:-1], size) + np.arange(to[-1])
                 for u in range(0, len(i), 20_000):
                     v = min(len(i), u + 20_000)
                     part = h[take[to[u] : to[v]]]
                     body = pa.BinaryArray.from_buffers(pa.binary(), v - u, [None, pa.py_buffer(((to[u : v + 1] - to[u]) * 4).astype(np.int32).tobytes()), pa.py_buffer(part.tobytes())])
-                    pick = pa.array(a + own[u:v])
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[i[u:v]]), b.column(0).take(pick), b.column(3).take(pick), pa.array(lo[u:v].astype(np.int32)), body], ["anchor", "doc_id", "h", "start", "tokens"])
+                    pick, mine = pa.array(a + own[u:v]), pa.array(i[u:v])
+                    yield pa.RecordBatch.from_arrays([*(flat.field(x).take(mine) for x in range(3)), b.column(0).take(pick), b.column(3).take(pick), flat.field(3).take(mine), body], ["anchor", "content", "several", "doc_id", "h", "start", "tokens"])
 
-    return texts.mapInArrow(run, f"anchor long, doc_id {kind}, h long, start int, tokens binary")
+    return texts.mapInArrow(run, f"anchor long, content long, several boolean, doc_id {kind}, h long, start int, tokens binary")
 
 
-Finder = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
+Finder = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
 
-def by_fm_index(ids: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, longest: int) -> np.ndarray:
-    """Match length from each token with another document."""
+def by_fm_index(ids: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, several: np.ndarray, start: np.ndarray, longest: int) -> np.ndarray:
+    """Match length from each token with another document; classes of several documents are settled and only searched."""
+    doc = np.where(several, -1 - np.arange(len(doc)), doc)  # such a class is another document for every other
     owner = np.repeat(doc, size + 1)
-    return FMIndex(ids, owner, longest).matching_statistics(ids, begin, size)
+    return FMIndex(ids, owner, longest).matching_statistics(ids, begin, np.where(several, 0, size))
 
 
-def by_previous_factor(ids: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, longest: int) -> np.ndarray:
+def by_previous_factor(ids: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, several: np.ndarray, start: np.ndarray, longest: int) -> np.ndarray:
     """Match length from each token with an earlier place."""
     s = SuffixArray(ids, longest)
     within = np.arange(len(ids)) - np.repeat(begin, size + 1)
@@ -150,9 +190,8 @@ def by_previous_factor(ids: np.ndarray, begin: np.ndarray, size: np.ndarray, doc
     return out
 
 
-def intervals(segs: DataFrame, finder: Finder, min_tokens: int, k: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """doc_id, h, start, end: merged intervals that matches of at least min_tokens cover."""
-    kind = segs.schema["doc_id"].dataType.simpleString()
+def indexed(segs: DataFrame, finder: Finder, min_tokens: int, k: int, shard_tokens: int) -> DataFrame:
+    """anchor, content, a, b: token intervals within the first segments of classes that matches of at least min_tokens cover."""
     longest = 2 * min_tokens + k
 
     def flush(t: pa.Table) -> pa.RecordBatch:
@@ -177,21 +216,14 @@ def intervals(segs: DataFrame, finder: Finder, min_tokens: int, k: int, shard_to
         new = (np.diff(doc[order]) != 0) | (np.diff(h[order]) != 0)
         doc[order] = np.concatenate([[0], np.cumsum(new)])
         start = t["start"].to_numpy().astype(np.int64)
-        length = finder(ids, begin, size, doc, start, longest)
+        length = finder(ids, begin, size, doc, t["several"].combine_chunks().to_numpy(zero_copy_only=False), start, longest)
         p = np.flatnonzero(length >= min_tokens)
         edge = np.zeros(len(ids) + 1, np.int64)
         np.add.at(edge, p, 1)
         np.add.at(edge, p + length[p], -1)
         s, e, seg = spans(np.cumsum(edge[:-1]) > 0, np.append(begin, len(ids)))
-        lo, hi = start[seg] + s - begin[seg], start[seg] + e - begin[seg]
-        o = np.lexsort((lo, doc[seg])) if len(seg) else np.zeros(0, int)
-        d, lo, hi, seg = doc[seg][o], lo[o], hi[o], seg[o]
-        if len(o):  # join what touches
-            far = np.maximum.accumulate(hi + d * (1 << 33)) - d * (1 << 33)
-            new = np.concatenate([[True], (d[1:] != d[:-1]) | (lo[1:] > far[:-1])])
-            at = np.flatnonzero(new)
-            lo, hi, seg = lo[at], far[np.append(at[1:], len(o)) - 1], seg[at]
-        return pa.RecordBatch.from_arrays([docs.take(pa.array(seg)), pa.array(h[seg]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["doc_id", "h", "start", "end"])
+        pick = pa.array(seg)
+        return pa.RecordBatch.from_arrays([t["anchor"].combine_chunks().take(pick), t["content"].combine_chunks().take(pick), pa.array((s - begin[seg]).astype(np.int32)), pa.array((e - begin[seg]).astype(np.int32))], ["anchor", "content", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tokens = [], 0
@@ -199,7 +231,7 @@ def intervals(segs: DataFrame, finder: Finder, min_tokens: int, k: int, shard_to
             if not b.num_rows:
                 continue
             held.append(b)
-            tokens += b.column(4).nbytes // 4
+            tokens += b.column(6).nbytes // 4
             if tokens >= shard_tokens:
                 t = pa.Table.from_batches(held).combine_chunks()
                 key = t["anchor"].to_numpy()
@@ -222,22 +254,76 @@ def intervals(segs: DataFrame, finder: Finder, min_tokens: int, k: int, shard_to
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    found = segs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, f"doc_id {kind}, h long, start int, end int")
+    return segs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, content long, a int, b int")
+
+
+def windowed(segs: DataFrame, across: bool, min_tokens: int) -> DataFrame:
+    """What ``indexed`` gives, from the hashes of all windows of min_tokens tokens."""
+    kind = segs.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for u in range(0, b.num_rows, 2000):
+                part = b.slice(u, 2000)
+                for r, body in enumerate(part.column(6)):
+                    h = np.frombuffer(body.as_buffer(), np.uint32).astype(np.uint64)
+                    at = np.arange(len(h) - min_tokens + 1)
+                    if len(at):
+                        key = _token_hasher(mix(h))(at, at + min_tokens)
+                        own = pa.array(np.full(len(at), r))
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(part.column(k).take(own) for k in range(6)), pa.array(at.astype(np.int32))], ["key", "anchor", "content", "several", "doc_id", "h", "start", "a"])
+
+    made = segs.mapInArrow(cut, f"key long, anchor long, content long, several boolean, doc_id {kind}, h long, start int, a int")
+    doc, place = F.struct("doc_id", "h"), F.struct("doc_id", "h", (F.col("start") + F.col("a")).alias("at"))
+    if across:
+        of = made.groupBy("key").agg(F.min(doc).alias("low"), F.max(doc).alias("high"), F.max("several").alias("any")).where("any or low < high").select("key")
+        hit = made.where("not several").join(of, "key", "left_semi")
+    else:
+        of = made.groupBy("key").agg(F.min(place).alias("low"))
+        hit = made.withColumn("place", place).join(of, "key").where("low < place")
+    return hit.select("anchor", "content", "a", (F.col("a") + min_tokens).alias("b"))
+
+
+def joined(parts: DataFrame) -> DataFrame:
+    """doc_id, h, start, end: overlapping or touching intervals of a document as one."""
     w = Window.partitionBy("doc_id", "h").orderBy("start", "end")
     far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = found.distinct().withColumn("new", F.when(far.isNull() | (F.col("start") > far), 1).otherwise(0))
+    marked = parts.distinct().withColumn("new", F.when(far.isNull() | (F.col("start") > far), 1).otherwise(0))
     return marked.withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "h", "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")
 
 
-def repeated_across(docs: DataFrame, min_tokens: int = MIN_TOKENS, k: int = GRAM, shard_tokens: int = SHARD_TOKENS, with_h: bool = False) -> DataFrame:
+def intervals(docs: DataFrame, across: bool, min_tokens: int, k: int, shard_tokens: int, hot: int) -> DataFrame:
+    """doc_id, h, start, end: merged intervals that matches of at least min_tokens cover; across: with another document, else with an earlier place."""
+    found = repeated_anchors(docs, min_tokens, k)
+    kinds = classes(found)
+    settled = kinds.where((F.col("size") >= min_tokens) & (F.col("several") if across else F.col("copies") > 1)).select("anchor", "content", "first")
+    whole = found.join(settled, ["anchor", "content"])
+    if not across:
+        whole = whole.where(F.col("first") < F.struct("doc_id", "h", "start"))
+    whole = whole.select("doc_id", "h", "start", (F.col("start") + F.col("size")).alias("end"))
+    wanted = kinds.where((F.col("size") >= min_tokens) & (F.col("kinds") > 1))
+    segs = written(segments(docs, wanted.where(F.col("kinds") > hot)))
+    part = indexed(segments(docs, wanted.where(F.col("kinds") <= hot)), by_fm_index if across else by_previous_factor, min_tokens, k, shard_tokens)
+    if not segs.isEmpty():
+        part = part.unionByName(windowed(segs, across, min_tokens))
+    if across:
+        # what holds for the first segment holds for all of its class (of one document here)
+        of = found.select("anchor", "content", "doc_id", "h", "start").join(kinds.where("not several and kinds > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
+        part = part.join(of, ["anchor", "content"]).select("doc_id", "h", "start", "a", "b")
+    else:
+        part = part.join(kinds.where("kinds > 1").select("anchor", "content", "first"), ["anchor", "content"]).select("first.*", "a", "b")
+    return joined(whole.union(part.select("doc_id", "h", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("end"))))
+
+
+def repeated_across(docs: DataFrame, min_tokens: int = MIN_TOKENS, k: int = GRAM, shard_tokens: int = SHARD_TOKENS, hot: int = HOT, with_h: bool = False) -> DataFrame:
     """Operator 6: intervals of each document that another document has."""
-    found = intervals(segments(docs, True, min_tokens, k), by_fm_index, min_tokens, k, shard_tokens)
+    found = intervals(docs, True, min_tokens, k, shard_tokens, hot)
     return found if with_h else found.drop("h")
 
 
-def later_copies(docs: DataFrame, min_tokens: int = MIN_TOKENS, k: int = GRAM, shard_tokens: int = SHARD_TOKENS, with_h: bool = False) -> DataFrame:
+def later_copies(docs: DataFrame, min_tokens: int = MIN_TOKENS, k: int = GRAM, shard_tokens: int = SHARD_TOKENS, hot: int = HOT, with_h: bool = False) -> DataFrame:
     """Operator 8: intervals that an earlier place has."""
-    found = intervals(segments(docs, False, min_tokens, k), by_previous_factor, min_tokens, k, shard_tokens)
+    found = intervals(docs, False, min_tokens, k, shard_tokens, hot)
     return found if with_h else found.drop("h")
 
 

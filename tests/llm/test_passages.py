@@ -64,9 +64,9 @@ def corpus(seed):
 def test_against_brute_force(spark, seed):
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for shard in (300, 250_000):
-        assert covered(passages.repeated_across(docs, 12, 4, shard)) == brute(rows, 12, True)
-        assert covered(passages.later_copies(docs, 12, 4, shard)) == brute(rows, 12, False)
+    for shard, hot in ((300, 10_000), (250_000, 10_000), (300, 0), (300, 3)):
+        assert covered(passages.repeated_across(docs, 12, 4, shard, hot)) == brute(rows, 12, True)
+        assert covered(passages.later_copies(docs, 12, 4, shard, hot)) == brute(rows, 12, False)
 
 
 def test_empty_and_clashing_columns(spark):

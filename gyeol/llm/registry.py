@@ -67,7 +67,7 @@ o AS (SELECT * FROM l WHERE length(t) >= 1),
 firsts AS (SELECT t, length(t) AS n, min(struct_pack(d := doc_id, l := line)) AS f FROM o GROUP BY t),
 near AS (SELECT a.t, min(b.f) AS f FROM firsts a JOIN firsts b ON b.n IN (a.n - 1, a.n, a.n + 1) AND a.t <> b.t AND abs(a.n - b.n) <= 1
          AND (left(a.t, least(a.n, b.n) // 2) = left(b.t, least(a.n, b.n) // 2) OR right(a.t, least(a.n, b.n) - least(a.n, b.n) // 2) = right(b.t, least(a.n, b.n) - least(a.n, b.n) // 2))
-         WHERE least(a.n, b.n) >= {linededup.NEAR_CHARS} AND levenshtein(a.t, b.t) <= 1 GROUP BY a.t),
+         /* one edit of a character; levenshtein() counts bytes */ WHERE least(a.n, b.n) >= {linededup.NEAR_CHARS} AND len(list_filter(range(0, greatest(a.n, b.n)), lambda i: left(a.t, i) = left(b.t, i) AND substr(a.t, i + 1 + CAST(a.n >= b.n AS INTEGER)) = substr(b.t, i + 1 + CAST(b.n >= a.n AS INTEGER)))) > 0 GROUP BY a.t),
 k AS (SELECT firsts.t, firsts.f AS exact, CASE WHEN near.f IS NULL THEN firsts.f ELSE least(firsts.f, near.f) END AS keep FROM firsts LEFT JOIN near USING (t))
 SELECT DISTINCT o.doc_id, o.line, keep.d AS kept_doc, keep.l AS kept_line, CAST(keep <> exact AS INTEGER) AS distance
 FROM o JOIN k USING (t) WHERE keep < struct_pack(d := o.doc_id, l := o.line)""",

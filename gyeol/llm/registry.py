@@ -57,8 +57,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _TRIM = r"'^[\t\n\x0B\f\r\x1C-\x20]+|[\t\n\x0B\f\r\x1C-\x20]+$'"
+#: Windows of 50 normalised tokens; key is a 64-bit hash.
+_WINDOWS = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9A-Za-z\x{{00C0}}-\x{{1FFF}}\x{{2080}}-\x{{2FFF}}\x{{3040}}-\x{{10FFFF}}]+') AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+w AS MATERIALIZED (SELECT doc_id, i, hash(array_to_string(t[i + 1 : i + {passages.MIN_TOKENS}], ' ')) AS key FROM (SELECT doc_id, t, unnest(range(0, len(t) - {passages.MIN_TOKENS - 1})) AS i FROM d)),
+c AS (SELECT DISTINCT doc_id, i FROM %s),
+m AS (SELECT *, CASE WHEN i <= {passages.MIN_TOKENS} + lag(i) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM c),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM m)
+SELECT doc_id, CAST(min(i) AS INTEGER) AS start, CAST(max(i) + {passages.MIN_TOKENS} AS INTEGER) AS "end" FROM g GROUP BY doc_id, part"""
 #: Oracles by query; an operator that SQL can't express has none.
 ORACLES: dict[str, str] = {
+    "op6_fm_index_substrings": _WINDOWS % "w SEMI JOIN (SELECT key FROM w GROUP BY key HAVING min(doc_id) <> max(doc_id)) USING (key)",
+    "op8_suffix_array_dedup": _WINDOWS % "w JOIN (SELECT key, min(struct_pack(d := doc_id, i := i)) AS f FROM w GROUP BY key) USING (key) WHERE f < struct_pack(d := doc_id, i := i)",
     "op10_line_dedup": rf"""
 WITH split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line
                FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),

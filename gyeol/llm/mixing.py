@@ -14,7 +14,9 @@ as many slots as blocks.
 
 Plan: one pass counts tokens by (source, bucket); one shuffle brings each bucket's
 documents together in order, behind a row with the bucket's first position; one shuffle brings the pieces of a block together and
-serves the join, too.  A hot source is spread over ``BUCKETS`` buckets.
+serves the join, too.  Documents are ordered by a hash, and buckets are ranges of it:
+as many as keep ``BUCKET_CHARS`` characters in one if all were of one source, so a hot
+source is spread, and the number of buckets changes nothing in the result.
 
 The driver holds one row for each source, as does each task that draws.
 
@@ -31,13 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 from .textcore import Hasher, chunks, mix, tokens
 
-BLOCK, SLOTS, ALPHA, SEED, BUCKETS, SEPARATOR = 1024, 1024, 0.5, 11, 256, "\n<|doc|>\n"
+BLOCK, SLOTS, ALPHA, SEED, SEPARATOR = 1024, 1024, 0.5, 11, "\n<|doc|>\n"
+#: Characters of a bucket of documents, of all sources together.
+BUCKET_CHARS = 16_000_000
 
 
 def permute(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -65,10 +69,15 @@ def name_key(name: str, seed: int) -> int:
         return int(mix(Hasher(raw)(np.array([0]), np.array([len(raw)])) + np.uint64(seed))[0])
 
 
+def _turn() -> Column:
+    """The order of documents within a source."""
+    return F.xxhash64("doc_id", F.lit(1))
+
+
 def _prepared(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select(
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"),
+        (F.shiftrightunsigned(_turn(), 40) * buckets / (1 << 24)).cast("int").alias("bucket"),
         F.col("doc_id"),
         F.col("text"),
     ).where(F.col("text").isNotNull())
@@ -94,7 +103,7 @@ def pieces(prepared: DataFrame, base: DataFrame, block: int) -> DataFrame:
     # a bucket's base travels as its first row; a join on the same keys would let the planner take its
     # partitioning for ours and give it up later when it turns the join into a broadcast
     kind = prepared.schema["doc_id"].dataType.simpleString()
-    docs = prepared.select("source", "bucket", F.lit(None).cast("long").alias("base"), "doc_id", "text", F.xxhash64("doc_id", F.lit(1)).alias("turn"), F.xxhash64("text").alias("h"))
+    docs = prepared.select("source", "bucket", F.lit(None).cast("long").alias("base"), "doc_id", "text", F.shiftrightunsigned(_turn(), 1).alias("turn"), F.xxhash64("text").alias("h"))
     heads = base.select("source", "bucket", "base", *[F.lit(None).cast(t).alias(n) for n, t in (("doc_id", kind), ("text", "string"), ("turn", "long"), ("h", "long"))])
     both = docs.union(heads).repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.col("base").isNull(), "turn", "doc_id", "h").select("source", "bucket", "base", "doc_id", "text")
 
@@ -173,14 +182,15 @@ def slots(spark, sources: list[tuple[str, int, float]], total: int, per_shard: i
     return counted.select("shard", "k", "count", "start", "size", "prior").mapInArrow(expand, "shard long, slot long, source string, epoch long, block long")
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, block: int = BLOCK, per_shard: int = SLOTS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, block: int = BLOCK, per_shard: int = SLOTS, seed: int = SEED, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """shard, slot, source, epoch, block, n_tokens, doc_ids, text: the mixture.
 
     weights: by source; a source without one is left out.  Without weights, a source
     weighs its token count to the power alpha.
     """
     spark = docs.sparkSession
-    prepared = _prepared(docs, buckets)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    prepared = _prepared(docs, min(1 << 22, max(1, -(-chars // bucket_chars))))
     counts = written(bucket_tokens(prepared).where("n > 0"))  # at most one row for each source and bucket
     sizes = counts.groupBy("source").agg(F.sum("n").alias("n")).collect()
     have = [(r["source"], -(-r["n"] // block), float(weights.get(r["source"], 0) if weights is not None else r["n"] ** alpha)) for r in sorted(sizes)]

@@ -27,7 +27,7 @@ def test_blocks_and_shards(spark):
     rows = corpus()
     docs = spark.createDataFrame([(*r, 7, "q") for r in rows], "doc_id long, text string, source string, block long, piece string").repartition(3)
     block, per = 50, 40
-    out = mixing.mix_sources(docs, block=block, per_shard=per, buckets=4).collect()
+    out = mixing.mix_sources(docs, block=block, per_shard=per, bucket_chars=60_000).collect()
     total = Counter()
     for _, t, s in rows:
         total[s or ""] += len((t or "").split())
@@ -58,15 +58,22 @@ def test_no_text_is_lost(spark):
     """One source of weight takes all of its blocks; put together they are its documents."""
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    first = mixing.mix_sources(docs, {"y": 1.0}, block=50, buckets=4).where("epoch = 0").orderBy("block").collect()
+    first = mixing.mix_sources(docs, {"y": 1.0}, block=50, bucket_chars=60_000).where("epoch = 0").orderBy("block").collect()
     assert {r["source"] for r in first} == {"y"}
     tokens = [t for r in first for p in r["text"].split(mixing.SEPARATOR) for t in p.split()]
     want = [t for _, x, s in rows if s == "y" for t in (x or "").split()]
     assert Counter(tokens) == Counter(want) and {d for r in first for d in r["doc_ids"]} == {d for d, x, s in rows if s == "y" and (x or "").split()}
-    again = mixing.mix_sources(docs.repartition(7), {"y": 1.0}, block=50, buckets=4).where("epoch = 0").orderBy("block").collect()
+    again = mixing.mix_sources(docs.repartition(7), {"y": 1.0}, block=50, bucket_chars=60_000).where("epoch = 0").orderBy("block").collect()
     assert [r["text"] for r in again] == [r["text"] for r in first]
 
 
+def test_buckets_change_nothing_and_ids_are_of_any_type(spark):
+    rows = [(f"d{d}", t, s) for d, t, s in corpus()]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string").repartition(5)
+    got = [sorted(map(str, mixing.mix_sources(docs, block=50, per_shard=40, bucket_chars=c).collect())) for c in (3_000, 50_000_000)]
+    assert got[0] == got[1] and len(got[0]) > 500 and "'d203'" in got[0][0] + got[0][-1]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_sources(docs).count() == 0

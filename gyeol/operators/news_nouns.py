@@ -19,9 +19,14 @@ from ..session import cut
 from .lrgraph import eojeol_counts, lr_graph
 
 #: Particles and endings whose first two characters speak for the noun in front of them.
-PASS = (
-    "과 는 되고 되는 되다 된다 들 들에 들의 들이 로 로는 로도 로서 를 부터 뿐 뿐만 뿐이 뿐인 에게 에도 에서 에와 와 으로 으로의 은 의 이 이나 이라 이었 인 임 처럼 하다 한 할 했던 했고 했다"
-).split()
+PASS = tuple(
+    # particles
+    "는 은 이 를 과 와 의 로 으로 으로의 로는 로도 로서 이나 부터 처럼 에게 에도 에서 에와"
+    # plurals, 'only'
+    " 들이 들의 들에 들 뿐인 뿐이 뿐만 뿐"
+    # forms of 이다, 하다 and 되다
+    " 임 인 이었 이라 할 한 했다 했고 했던 하다 된다 되다 되는 되고".split()
+)
 #: Last characters of words that are cut short, with what follows them and the share of it that tells.
 CUT_SHORT = {"으": ("로", "로써", "로만", "로의"), "지": ("만",), "없": ("는", "이", "다", "었다")}
 STOP_TAILS, FREQUENT_TAILS, PLURAL_TAILS, JOSA_TAIL = ("갔다", "이는", "겠지", "보는"), "인은의와과", ("들이", "들은", "들도", "들을"), "으로"

@@ -21,7 +21,7 @@ from ..session import cut
 from .lrgraph import lr_graph
 
 #: Endings that are particles, too, and say nothing about a stem.
-AMBIGUOUS = ("거나", "게", "게는", "게도", "고", "고도", "고만", "는", "다", "다가", "서는", "아", "은")
+AMBIGUOUS = tuple("은 는 아 서는 다가 다 고만 고도 고 게도 게는 게 거나".split())
 
 
 def _in(df: DataFrame, column: str, words: DataFrame, how: str = "left_semi") -> DataFrame:

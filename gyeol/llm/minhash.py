@@ -7,10 +7,10 @@ give candidates; the similarity of a pair is estimated from the share m of equal
 b-bit values, corrected for chance collisions: (m - 2^-b) / (1 - 2^-b).
 
 Documents with equal signatures and band keys are one node.  Within a bucket, each node is
-compared with the first one; nodes that fail are compared with every other node of
-the bucket, while those that pass are linked already.  So the components are those
-of all candidate pairs above the threshold, but a bucket of n copies costs n
-comparisons.  Components come from alternating minimum-label rounds, each cut by a
+compared with the lowest one, by a join; nodes that fail are compared with every other
+node of the bucket, in cells of bounded size, while those that pass are linked already.
+So the components are those of all candidate pairs above the threshold, but a bucket
+of n copies costs n comparisons, and no task holds a bucket.  Components come from alternating minimum-label rounds, each cut by a
 checkpoint; a group keeps the document with its lowest doc_id (then text hash).
 
 Defined cases: rows without doc_id or text take no part and stay.  Texts without a
@@ -28,14 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keyed
+from .common import cut, keyed, written
 from .textcore import Hasher, chunks, fold, mix, ngrams, words
 
 SHINGLE, HASHES, BITS, ROWS, THRESHOLD = 3, 126, 4, 3, 0.4
 BANDS = HASHES // ROWS
+#: Nodes on either side of a cell of a bucket.
+BLOCK = 20_000
 _rng = np.random.default_rng(20240817)
 _MUL = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -120,58 +122,81 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, h long, sig binary, keys array<bigint>, node binary")
 
 
-def bucket_edges(start: np.ndarray, ids: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join, within buckets (first rows: start), all nodes linked by pairs above the threshold."""
-    size = np.diff(np.append(start, len(ids)))
-    hub = np.repeat(start, size)
-    ok = similarity(sig, sig[hub]) >= threshold
-    me = np.arange(len(ids))
-    left, right = [hub[ok & (me != hub)]], [me[ok & (me != hub)]]
-    rest = np.flatnonzero(~ok)
-    for i in rest:
-        a = hub[i]
-        members = np.arange(a + 1, a + size[np.searchsorted(start, a)])
-        members = members[(members != i) & (ok[members] | (members < i))]
-        if len(members):
-            near = members[similarity(sig[members], sig[i]) >= threshold]
-            left.append(near)
-            right.append(np.full(len(near), i))
+def _rows_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def close_pairs(rest: np.ndarray, members: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row of rest, row of members) of all pairs of signatures above the threshold."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, 4_000_000 // max(1, members.size))
+    for u in range(0, len(rest) if len(members) else 0, step):
+        i, j = np.nonzero(similarity(rest[u : u + step, None], members[None]) >= threshold)
+        left.append(i + u)
+        right.append(j)
     return np.concatenate(left), np.concatenate(right)
 
 
-def edges(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (a < b) between nodes (id, sig, keys)."""
-    w = Window.partitionBy("key")
-    keys = nodes.select("id", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(w)).where("n > 1").drop("n")
-    full = keys.join(nodes.select("id", "sig"), "id").repartition("key").sortWithinPartitions("key", "id")
+def edges(nodes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Verified links (a < b) between nodes (id, sig, keys) that join what all pairs of a bucket above the threshold would.
+
+    The lowest node of each bucket is compared with the others by a join.  Those that fail are compared with all of
+    the bucket, in cells of about ``block`` failing nodes and ``block`` members, so that no task holds a bucket.
+    """
+    keys = nodes.select("id", F.explode("keys").alias("key"))
+    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    linked = written(keys.join(hubs, "key").where("id <> hub"))
+    sig = nodes.select("id", "sig")
+
+    @F.pandas_udf("boolean")
+    def alike(x, y):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series(similarity(_rows_of(pa.array(x)), _rows_of(pa.array(y))) >= threshold if len(x) else np.zeros(0, bool))
+
+    pairs = linked.select("id", "hub").distinct().join(sig, "id").join(sig.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+    seen = written(pairs.select("id", "hub", alike("sig", "hub_sig").alias("ok")))
+    failed = linked.join(seen.where("not ok").select("id", "hub"), ["id", "hub"]).select("key", "id", "hub", "n")
+    per = failed.groupBy("key").agg(F.count("*").alias("r"))
+    failed = written(failed.join(per, "key"))
+    parts = lambda c: F.ceil(F.col(c) / block).cast("int")
+    place = lambda c: F.pmod(F.xxhash64("id"), parts(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
+    of = failed.groupBy("key").agg(F.first("r").alias("r"), F.first("n").alias("n"), F.first("hub").alias("hub"))
+    member = linked.select("key", "id").join(of, "key").select("key", "id", "r", "n")  # the hub has been compared with all
+    asks = failed.select("key", "id", place("r").alias("rb"), every("n").alias("mb"), F.lit(True).alias("asks"))
+    held = member.select("key", "id", every("r").alias("rb"), place("n").alias("mb"), F.lit(False).alias("asks"))
+    cells = asks.unionByName(held).join(sig, "id").repartition("key", "rb", "mb").sortWithinPartitions("key", "rb", "mb").select("id", "key", "rb", "mb", "asks", "sig")
     kind = nodes.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def flush(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            key = t["key"].to_numpy()
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(key), -1)
-            ids = t["id"].combine_chunks()
-            a, b = bucket_edges(start, key, sig, threshold)
-            pair = pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], ["a", "b"])
-            return pa.Table.from_batches([pair]).group_by(["a", "b"]).aggregate([]).combine_chunks().to_batches()[0] if pair.num_rows else pair
+        held: list[pa.RecordBatch] = []
+        cell = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                t = pa.Table.from_batches(held).combine_chunks()
+                ask = t["asks"].combine_chunks().to_numpy(zero_copy_only=False)
+                q, m = np.flatnonzero(ask), np.flatnonzero(~ask)
+                bits = _rows_of(t["sig"].combine_chunks())
+                i, j = close_pairs(bits[q], bits[m], threshold)
+                ids = t["id"].combine_chunks()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[i])), ids.take(pa.array(m[j]))], ["a", "b"])
+                held.clear()
 
         for b in batches:
-            t = pa.Table.from_batches([b.select(["id", "key", "sig"])])
-            held = pa.concat_tables([held, t]) if held is not None else t
-            key = held["key"].to_numpy()
-            change = np.flatnonzero(key[1:] != key[:-1])
-            if held.num_rows >= 20_000 and len(change):
-                upto = int(change[-1]) + 1
-                yield flush(held.slice(0, upto))
-                held = held.slice(upto)
-        if held is not None and held.num_rows:
-            yield flush(held)
-
-    return full.select("id", "key", "sig").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+            where = np.stack([b.column(k).to_numpy() for k in (1, 2, 3)])
+            cuts = np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1
+            for u, v in zip([0, *cuts], [*cuts, b.num_rows]):
+                if v > u:
+                    if tuple(where[:, u]) != cell:
+                        yield from close()
+                        cell = tuple(where[:, u])
+                    held.append(b.slice(u, v - u))
+        yield from close()
+
+    more = cells.mapInArrow(run, f"a {kind}, b {kind}").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return seen.where("ok").select(F.col("hub").alias("a"), F.col("id").alias("b")).union(more).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -49,14 +49,14 @@ def test_groups_and_similarity(spark):
     assert kept == set(first.values())
 
 
-def test_links_equal_brute_force():
-    """Hub comparison links what all pairs of the bucket would link."""
+def test_links_equal_brute_force(spark):
+    """Hub comparison and cells link what all pairs of the bucket would link, whatever the size of a cell."""
     rng = np.random.default_rng(2)
     base = rng.integers(0, 256, (5, minhash.HASHES // 2), dtype=np.uint8)
     sig = base[rng.integers(0, 5, 60)].copy()
     noise = rng.random(sig.shape) < rng.choice([0.0, 0.2, 0.5], 60)[:, None]
     sig[noise] = rng.integers(0, 256, int(noise.sum()), dtype=np.uint8)
-    start = np.array([0, 17, 18, 40])
+    keys = [sorted({0 if i < 25 else 1, int(rng.integers(2, 9))}) for i in range(60)]
 
     def groups(pairs):
         root = list(range(60))
@@ -68,9 +68,12 @@ def test_links_equal_brute_force():
             root[find(a)] = find(b)
         return [find(i) == find(j) for i in range(60) for j in range(60)]
 
-    every = [(i, j) for s, e in zip(start, [*start[1:], 60]) for i in range(s, e) for j in range(i) if j >= s and minhash.similarity(sig[i], sig[j]) >= 0.4]
-    a, b = minhash.bucket_edges(start, np.arange(60), sig, 0.4)
-    assert groups(zip(a.tolist(), b.tolist())) == groups(every)
+    every = [(i, j) for i in range(60) for j in range(i) if set(keys[i]) & set(keys[j]) and minhash.similarity(sig[i], sig[j]) >= 0.4]
+    nodes = spark.createDataFrame([(i, sig[i].tobytes(), keys[i]) for i in range(60)], "id long, sig binary, keys array<bigint>").repartition(3)
+    for block in (20_000, 4):
+        got = minhash.edges(nodes, 0.4, block).collect()
+        assert all((x["b"], x["a"]) in every for x in got)
+        assert groups((x["a"], x["b"]) for x in got) == groups(every)
 
 
 def test_low_bits_estimate():

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +37,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_made: contextvars.ContextVar[list[str]] = contextvars.ContextVar("tables", default=[])
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside are deleted at the end, when what reads them must be done."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        for path in _made.get():
+            remove(spark, path)
+        _made.reset(token)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there, and the planner knows its size."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

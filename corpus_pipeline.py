@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gyeol.llm import decontam, langid, linededup, minhash, mixing
-from gyeol.llm.common import remove, shared_dir, table
+from gyeol.llm.common import remove, scratch, shared_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{out}/{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{out}/{k}")
         docs = spark.read.parquet(f"{out}/{k}")
         if k:
             remove(spark, f"{out}/{k - 1}")

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
 from .textcore import buffers, word_bytes
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 12, 8
@@ -247,5 +248,6 @@ def keep_identified(docs: DataFrame, net: ByteConvNet, min_confidence: float = M
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(score(net, b.column(at), min_confidence)[2]))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, written
+from .common import give_back, keyed, written
 from .decontam import with_text
 from .textcore import _SPACE, Hasher, characters, chunks, mix, spans
 
@@ -103,6 +103,7 @@ def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
                 arrays = [b.column(0).take(at), b.column(2).take(at), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32))]
                 keys = [Hasher(data)(s, e), *half_keys(data, s, e, n)]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(k.view(np.int64)) for k in keys], ["doc_id", "h", "line", "n", "lh", "k0", "k1", "k2", "k3"])
+        give_back()
 
     return docs.mapInArrow(run, f"doc_id {kind}, h long, line int, n int, lh long, k0 long, k1 long, k2 long, k3 long")
 
@@ -210,6 +211,7 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
                 take = pa.array(a + line)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(what), *(b.column(k).take(take) for k in (0, 1)), *(b.column(k).take(take) for k in (4, 5, 6))], ["key", "kind", "lh", "n", "doc_id", "h", "line"])
                 a = c
+        give_back()
 
     flat = texts.select("lh", "n", "flag", "text", "f.doc_id", "f.h", "f.line")
     made = flat.mapInArrow(emit, f"key long, kind byte, lh long, n int, doc_id {kind}, h long, line int").select("key", "kind", "lh", "n", F.struct("doc_id", "h", "line").alias("f"))
@@ -219,12 +221,10 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     found = made.withColumn("to", to).where(F.col("to.f") < F.col("f")).select("lh", "n", F.col("to.f").alias("near"), F.col("to.lh").alias("to_lh"), F.col("to.n").alias("to_n")).distinct()
     mine, other = texts.select("lh", "n", F.col("text").alias("x")), texts.select(F.col("lh").alias("to_lh"), F.col("n").alias("to_n"), F.col("text").alias("y"))
 
-    @F.pandas_udf("boolean")
-    def verified(x, y):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        points = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
-        return pd.Series([within_one_edit(points(p), points(q)) for p, q in zip(x, y)], dtype=bool)
+    @F.arrow_udf("boolean")
+    def verified(x: pa.Array, y: pa.Array) -> pa.Array:
+        points = lambda t: np.frombuffer(t.as_py().encode("utf-32-le"), np.uint32)
+        return pa.array([within_one_edit(points(p), points(q)) for p, q in zip(x, y)], pa.bool_())
 
     sure = found.join(mine, ["lh", "n"]).join(other, ["to_lh", "to_n"]).where(verified("x", "y"))
     return sure.groupBy("lh", "n").agg(F.min("near").alias("near"))
@@ -273,5 +273,6 @@ def drop_lines(docs: DataFrame, repeats: DataFrame) -> DataFrame:
             own = pa.RecordBatch.from_arrays(b.columns[: len(names)], names)
             out = with_text(own, np.array(rows, int), texts)
             yield pa.RecordBatch.from_arrays(out.filter(pa.array(keep)).columns, inner)
+        give_back()
 
     return both.mapInArrow(run, both.drop("gone_lines").schema).toDF(*names)

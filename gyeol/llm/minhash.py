@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, written
+from .common import cut, give_back, keyed, written
 from .textcore import Hasher, chunks, fold, mix, ngrams, words
 
 SHINGLE, HASHES, BITS, ROWS, THRESHOLD = 3, 126, 4, 3, 0.4
@@ -118,6 +118,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
                 sig = pa.array([r.tobytes() for r in bits], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, c - a), b.column(2).slice(a, c - a), sig, lists, pa.array(node, pa.binary())], ["doc_id", "h", "sig", "keys", "node"])
+        give_back()
 
     return docs.mapInArrow(run, f"doc_id {kind}, h long, sig binary, keys array<bigint>, node binary")
 
@@ -148,11 +149,9 @@ def edges(nodes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     linked = written(keys.join(hubs, "key").where("id <> hub"))
     sig = nodes.select("id", "sig")
 
-    @F.pandas_udf("boolean")
-    def alike(x, y):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series(similarity(_rows_of(pa.array(x)), _rows_of(pa.array(y))) >= threshold if len(x) else np.zeros(0, bool))
+    @F.arrow_udf("boolean")
+    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(similarity(_rows_of(x), _rows_of(y)) >= threshold if len(x) else np.zeros(0, bool))
 
     pairs = linked.select("id", "hub").distinct().join(sig, "id").join(sig.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
     seen = written(pairs.select("id", "hub", alike("sig", "hub_sig").alias("ok")))
@@ -234,12 +233,9 @@ def _decided(sig: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document that repeats another: doc_id, keep_id (its group's lowest doc_id) and their estimated similarity."""
 
-    @F.pandas_udf("double")
-    def estimate(x, y):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        rows = lambda c: np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1)
-        return pd.Series(similarity(rows(x), rows(y)) if len(x) else np.zeros(0))
+    @F.arrow_udf("double")
+    def estimate(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(similarity(_rows_of(x), _rows_of(y)) if len(x) else np.zeros(0))
 
     return _decided(cut(signatures(docs)), threshold).select("doc_id", "keep_id", F.round(estimate("sig", "keep_sig"), 6).alias("similarity"))
 

@@ -32,7 +32,7 @@ _pow = [np.ones(1, U64), np.ones(1, U64)]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_pow[0]) < n:
-        size = max(n, 2 * CHUNK)
+        size = max(n, CHUNK + 1)  # kept by each worker
         with np.errstate(over="ignore"):
             for k, base in enumerate((_BASE, _INV)):
                 p = np.full(size, base, U64)

@@ -111,3 +111,18 @@ def test_one_id_with_two_texts(spark):
     assert sorted((r["doc_id"], r["text"]) for r in minhash.keep_one(docs).collect()) == [(0, x), (1, y), (2, "+++ ---"), (3, "=== ***")]
     named = docs.selectExpr("concat('d', doc_id) as doc_id", "text")
     assert minhash.keep_one(named).count() == 4
+
+
+def test_workers_need_no_pandas(spark, monkeypatch):
+    """The import costs each worker 48 MB, and powers of the hash were kept for twice the text at once."""
+    from gyeol.llm import linededup, textcore
+
+    monkeypatch.setattr(minhash.F, "pandas_udf", None)
+    rows, of = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert minhash.near_duplicates(docs).count() == len(of) - len(set(of.values()))
+    lines = spark.createDataFrame([(1, "one line of text"), (2, "one line of texts"), (3, "one line of text")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["distance"]) for r in linededup.repeated_lines(lines).collect()) == [(2, 1), (3, 0)]
+    monkeypatch.setattr(textcore, "_pow", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    textcore._powers(10)
+    assert len(textcore._pow[0]) <= textcore.CHUNK + 1

@@ -12,9 +12,9 @@ MIN_FREQUENCY = 5
 
 def bigrams(sents: DataFrame, min_frequency: int = MIN_FREQUENCY, tokens: Column | None = None) -> DataFrame:
     """w0, w1, frequency of adjacent tokens; ``tokens`` is any expression that gives an array of them."""
-    t = sents.select((split_words("sent") if tokens is None else tokens).alias("toks")).where(F.size("toks") > 1)
+    t = sents.select((split_words("sent") if tokens is None else tokens).alias("toks"))
     pairs = F.transform(F.slice("toks", 1, F.size("toks") - 1), lambda x, i: F.struct(x.alias("w0"), F.element_at("toks", i + 2).alias("w1")))
-    return t.select(F.inline(pairs)).groupBy("w0", "w1").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= min_frequency)
+    return t.select(F.inline_outer(F.when(F.size("toks") > 1, pairs))).where("w0 is not null").groupBy("w0", "w1").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= min_frequency)
 
 
 def slot_counts(pairs: DataFrame) -> DataFrame:

@@ -259,7 +259,8 @@ def jamo_levenshtein(a: Column | str, b: Column | str) -> Column:
 
 
 def _units(c: Column) -> Column:
-    return F.split(c, r"(?!^)(?!\z)")
+    """Characters; also those beyond 65535, which a regular expression would cut in two."""
+    return F.split(c, "")
 
 
 def cosine_distance(a: Column | str, b: Column | str) -> Column:

@@ -60,7 +60,8 @@ def b02_compose(spark, sf_dir):  # noqa: ANN001, ANN201
 @query("SELECT *, c BETWEEN 48 AND 57 AS is_number, c BETWEEN 65 AND 90 OR c BETWEEN 97 AND 122 AS is_english, ch IN ('!', '\"', '''', ',', '.', '?', '`') AS is_punctuation, c BETWEEN 44032 AND 55203 OR c BETWEEN 12593 AND 12643 AS is_korean FROM (SELECT ch, CAST(unicode(ch) AS INTEGER) AS c FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents))")
 def b03_character_classes(spark, sf_dir):  # noqa: ANN001, ANN201
     ch = _docs(spark, sf_dir).select(F.explode(h._units(F.col("text"))).alias("ch")).distinct()
-    return ch.select("ch", h.code("ch").alias("c"), h.is_number("ch").alias("is_number"), h.is_english("ch").alias("is_english"), h.is_punctuation("ch").alias("is_punctuation"), h.is_korean("ch").alias("is_korean"))
+    code = F.when(F.col("ch") == "", -1).otherwise(h.code("ch"))  # an empty text is one empty piece
+    return ch.select("ch", code.alias("c"), h.is_number("ch").alias("is_number"), h.is_english("ch").alias("is_english"), h.is_punctuation("ch").alias("is_punctuation"), h.is_korean("ch").alias("is_korean"))
 
 
 @query(rows("s, clean", ("123이건테스트ab테스트", "이건테스트 테스트"), ("", "")))

@@ -60,3 +60,18 @@ def test_encoding(spark):
     got = {r["s"]: (r["e"], r["t"]) for r in df.withColumn("t", h.decode("e")).collect()}
     assert got["간1 ㅋ"] == ([[0, 19, 44], [69], [78], [15]], "간1 ㅋ")
     assert got["가  a나ㄳ"][1] == "가 나ㄳ"
+
+
+def test_characters_beyond_the_basic_plane(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as e
+
+    texts = ["a\U0001f44db\U00020000", "e\u0301", "", None, "가 ㅏ!"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    name = "b03_character_classes"
+    with duckdb.connect() as c:
+        c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        want = c.sql(e.oracle_sql()[name]).fetchall()
+    assert sorted(map(tuple, e.queries()[name](spark, str(tmp_path)).collect())) == sorted(want)
+    assert spark.createDataFrame([("\U0001f44da", "a")], "a string, b string").select(h.jaccard_distance("a", "b")).first()[0] == 0.5

@@ -58,3 +58,10 @@ def test_text_is_split_once(spark):
     assert [x["sent"] for x in s.collect()] == ["a　b", "c d"]
     for df in (corpus.token_counts(s), corpus.token_table(s), wordstats.neighbour_counts(s), phrase.bigrams(s, 1)):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("split(sent") == 1
+
+
+def test_tokens_and_neighbours_in_one_pass(spark):
+    s = spark.createDataFrame([(0, 0, "ab cd"), (1, 0, "ab"), (2, 0, " "), (3, 0, None)], "doc_id long, sent_id int, sent string")
+    got = {(x["tok"], x["after"], x["before"]): x["n"] for x in wordstats.all_neighbour_counts(s).collect()}
+    assert got == {("ab", "c", "d"): 1, ("cd", "a", "b"): 1, ("ab", None, None): 1}
+    assert wordstats.neighbour_counts(s).count() == 2
